@@ -28,3 +28,24 @@ def p6_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p6_found, p6_separators)}
+
+_D = r"|｜;；\t\n\r,，、"
+_ITEM = rf'''[ \x0B\f\p{{Z}}]*("[^"]*(?:""[^"]*)*"|'[^']*(?:''[^']*)*'|[^{_D}]*)[ \x0B\f\p{{Z}}]*(?:[{_D}]|$)'''.replace("'", "''")
+_TRIMMED = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_F = r'(?:"(?:[^"]|"")*"|[^"\t]*)'
+
+#: SQL of the queries above. p6 writes down the separators that the operator infers.
+SQL = {
+    "p6_found": f"""
+with u as (select distinct user_id, {', '.join(LISTS)} from table1_user where user_id is not null),
+l as ({' union all '.join(f"select user_id, '{f}' as field_name, {_TRIMMED.format(f)} as t from u" for f in LISTS)}),
+b as (select user_id, field_name, case when regexp_matches(t, '^(\\[[^\\[\\]]*\\]|\\([^()]*\\)|\\{{[^{{}}]*\\}})$') then t[2:-2] else t end as t
+      from l where t not in ('', '-', '\\N')),
+x as (select user_id, field_name, case when field_name = 'desire_jd_city_id' then regexp_extract_all(t, '[0-9]+')
+        else regexp_extract_all(t, '{_ITEM}', 1) end as raw from b),
+c as (select user_id, field_name, list_filter(list_transform(list_transform(raw, lambda r: {_TRIMMED.format('r')}), lambda r:
+        case when length(r) >= 2 and r[1] = '"' and r[-1] = '"' then {_TRIMMED.format("replace(r[2:-2], '" + '""' + "', '" + '"' + "')")}
+             when length(r) >= 2 and r[1] = '''' and r[-1] = '''' then {_TRIMMED.format("replace(r[2:-2], '''''', '''')")} else r end), lambda r: r <> '') as items from x)
+select user_id, field_name, cast(pos as bigint) as pos, items[pos] as item
+from (select user_id, field_name, items, unnest(range(1, length(items) + 1)) as pos from c)""",
+}
