@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packed
 from ..session import table
-from . import distinctive, normalize, splits, topn
+from . import distinctive, languages, lexicon, normalize, packing, splits, topn
 
 #: The packed fields of table1_user; the fields of problem 2 by table and key.
 LISTS = ["desire_jd_city_id", "desire_jd_industry_id", "desire_jd_type_id", "experience"]
@@ -83,7 +83,63 @@ def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = lexicon.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.fill_containers(sizes, "doc_id", "n_tokens", table(spark, sf_dir, "pack_budget"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir)
+
+
+def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(_containers(spark, sf_dir), table(spark, sf_dir, "pack_budget"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(_segments(spark, sf_dir))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_rows, p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_top)
+    f.__name__: f
+    for f in (
+        p1_found, p1_splits, p1_rows, p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_top, p7_ids,
+        p8_containers, p8_filling, p9_found, p9_segments,
+    )
 }
-SQL: dict[str, str] = {}
+
+#: Where SQL can say the same over whole tables; the other problems are tested against brute force.
+SQL: dict[str, str] = {
+    "p1_found": r"""
+with recursive acc as (
+  select x as raw, case when regexp_matches(t, '^[0-9a-f]{32}$') then t else '=' || x end as a from (
+    select x, regexp_replace(regexp_replace(lower(translate(x,
+      '０１２３４５６７８９ＡＢＣＤＥＦａｂｃｄｅｆ', '0123456789ABCDEFabcdef')), '^\s*uid:', ''), '[\s{}-]', '', 'g') as t
+    from (select user_id as x from table3_action union select user_id from user_link union select linked_user_id from user_link)
+    where x is not null)),
+e as (select distinct p.a as u, q.a as v from user_link l join acc p on p.raw = l.user_id join acc q on q.raw = l.linked_user_id
+      where p.a <> q.a and trim(l.user_id) <> '' and trim(l.linked_user_id) <> ''),
+b as (select u, v from e union select v, u from e),
+r(u, v) as (select u, v from b union select r.u, b.v from r join b on b.u = r.v),
+k as (select s.user_id, coalesce((select least(min(r.v), acc.a) from r where r.u = acc.a), acc.a) as c
+      from (select distinct user_id from table3_action where user_id is not null) s join acc on acc.raw = s.user_id)
+select x.user_id as user_id_a, y.user_id as user_id_b from k x join k y on x.c = y.c and x.user_id < y.user_id""",
+    "p5_top": """
+with b as (select user_id, jd_no, max(coalesce(satisfied, -1) * 1000 + coalesce(delivered, -1)) as s
+  from table3_action where user_id is not null and jd_no is not null group by user_id, jd_no)
+select user_id, jd_no, cast(row_number() over (partition by user_id order by s desc, jd_no) as bigint) as position
+from b qualify row_number() over (partition by user_id order by s desc, jd_no) <= 5""",
+}
+SQL["p5_found"] = f"select user_id, jd_no from ({SQL['p5_top']})"
