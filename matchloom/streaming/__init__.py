@@ -1 +1 @@
-
+"""The surveyed system has no streaming part; nothing stands here yet."""
