@@ -7,6 +7,7 @@ in blocks of at most ``LEAF`` lines is scanned strictly, line by line, to name t
 
 from __future__ import annotations
 
+import calendar
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ COLUMNS = [
 NUMBERS = ["city", "min_salary", "max_salary", "min_years"]
 DATES = ["start_date", "end_date"]
 TITLES = ["jd_title", "jd_sub_type"]
-BLOCK, LEAF = 1024, 8
+BLOCK, LEAF = 1024, 32
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t\r\n]*)'
 #: A whole line in the columnar path: no line break outside quotes, so lines can be joined.
@@ -94,11 +95,23 @@ _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
 _CONTROL_QUOTED = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 
 
+_ID, _NUMBER, _DAY = (re.compile(x).fullmatch for x in ("[0-9a-f]{32}", "-?[0-9]+", "[0-9]{8}"))
+
+
+def _real_day(v: str) -> bool:
+    if not _DAY(v):
+        return False
+    y, m, d = int(v[:4]), int(v[4:6]), int(v[6:])
+    return y > 0 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+
 def diagnose(line: str | None) -> tuple[list[str | None], str | None]:
     """(fields, reason) of one line by the strict rules; fields are empty where a reason is given."""
     line = "" if line is None else line
-    if line.endswith("\r"):
-        line = line[:-1]
+    return _scanned(line[:-1] if line.endswith("\r") else line)
+
+
+def _scanned(line: str) -> tuple[list[str | None], str | None]:
     fields: list[tuple[str, bool]] = []
     at = 0
     while True:
@@ -115,16 +128,15 @@ def diagnose(line: str | None) -> tuple[list[str | None], str | None]:
         return [], "column_count"
     row = {c: (None if v in ("", "\\N") else v) for c, (v, _) in zip(COLUMNS, fields, strict=True)}
     quoted_of = {c: q for c, (_, q) in zip(COLUMNS, fields, strict=True)}
-    bad = row["jd_no"] is None or not re.fullmatch("[0-9a-f]{32}", row["jd_no"])
+    bad = row["jd_no"] is None or not _ID(row["jd_no"])
     for c in TITLES:
         v = row[c]
         control = _CONTROL_QUOTED if quoted_of[c] else _CONTROL
-        bad = bad or v is None or not v.strip() or "�" in v or bool(control.search(v))
+        bad = bad or v is None or not v.strip() or "\ufffd" in v or bool(control.search(v))
     for c in NUMBERS:
-        bad = bad or (row[c] is not None and not re.fullmatch("-?[0-9]+", row[c]))
+        bad = bad or (row[c] is not None and not _NUMBER(row[c]))
     for c in DATES:
-        v = row[c]
-        bad = bad or (v is not None and not (re.fullmatch("[0-9]{8}", v) and _real_days(pa.array([v]))))
+        bad = bad or (row[c] is not None and not _real_day(row[c]))
     return ([], "invalid_value") if bad else ([row[c] for c in COLUMNS], None)
 
 
@@ -142,7 +154,7 @@ def _solve(keys: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
                 [keys.slice(lo, hi - lo), *cols, pa.nulls(hi - lo, pa.string())], schema=_OUT
             )
         else:
-            found = [diagnose(x) for x in text.slice(lo, hi - lo).to_pylist()]
+            found = [_scanned(x) for x in text.slice(lo, hi - lo).to_pylist()]
             none = [None] * len(COLUMNS)
             cols = zip(*(f or none for f, _ in found), strict=True)
             yield pa.RecordBatch.from_arrays(
