@@ -168,7 +168,7 @@ class Lexicon:
         start = (np.cumsum(size) - size)[by]
         size = size[by]
         state, total = np.zeros(len(words), "int64"), np.zeros(len(words), "int64")
-        for i in range(int(size[0]) if len(words) else 0):
+        for i in range(int(size[0]) if len(words) and len(self.keys) else 0):
             n = int(np.searchsorted(-size, -i, "left"))
             key = state[:n] * 256 + flat[start[:n] + i]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -177,6 +177,8 @@ class Lexicon:
             state[:n] = np.where(ok, self.targets[at], -1)
             if not ok.any() and n == len(words):
                 break
+        if not len(self.keys):
+            state[:] = -1
         out = np.empty(len(words), "int64")
         out[by] = np.where((state >= 0) & (self.final[np.maximum(state, 0)] == 1), total, -1)
         return out

@@ -54,10 +54,9 @@ _SEGMENT = regex.compile(rf"(?:[^{_UNSTABLE}\s])?[{_UNSTABLE}]+")
 _GONE = regex.compile(f"[{INVISIBLE}]+")
 _BLANK = regex.compile(f"[{_BLANKS}]")
 _FOLD = regex.compile(f"[{_COMPAT}]")
-_ALIKE = "".join(LATIN_OF)
-_MIXED = regex.compile(
-    rf"(?=[\p{{L}}\p{{M}}]*[{_ALIKE}\p{{Cyrillic}}])(?=[\p{{L}}\p{{M}}]*\p{{Latin}})[\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}\p{{M}}]+"
-)
+#: Runs of letters of the scripts that look alike, and a sign that one may be mixed.
+_MIXED = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]+")
+_FOREIGN = regex.compile(rf"[\p{{Cyrillic}}\p{{Greek}}{ALIKE_LATIN_ONLY[:2]}]")
 #: Finds text that may be unstable (Java syntax): anything but plain ASCII and unified ideographs.
 _QUICK = r"[^\x09\x0A\x0D\x20-\x7E\u3001\u3002\u3400-\u4DBF\u4E00-\u9FFF]"
 
@@ -93,7 +92,7 @@ def consistent(s: str | None) -> str | None:
     if s is None or (s.isascii() and s.isprintable()):
         return s
     s = _SEGMENT.sub(_fold, s)
-    return _MIXED.sub(_word, s)
+    return _MIXED.sub(_word, s) if _FOREIGN.search(s) else s
 
 
 @F.pandas_udf(T.StringType())
