@@ -140,7 +140,7 @@ def balance(weights: DataFrame, shares: dict[str, float] | None = None, bins: in
     blocks = -(-n // block) or 1
     own = weights.select("component", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("component"), F.lit(blocks)).alias("block"))
     parts = checkpointed(
-        own.groupBy("block").applyInPandas(_block_bins(bins), "component string, block bigint, part bigint, weight double")
+        own.repartition(blocks, "block").groupBy("block").applyInPandas(_block_bins(bins), "component string, block bigint, part bigint, weight double")
     )
     sums = parts.groupBy("block", "part").agg(F.sum("weight").alias("weight")).coalesce(1)
     final = sums.mapInPandas(_global_bins(bins, shares), "block bigint, part bigint, bin bigint, split string")
