@@ -9,8 +9,7 @@ from ..operators import packed
 from ..session import table
 from . import distinctive, languages, lexicon, normalize, packing, splits, topn
 
-#: The packed fields of table1_user; the fields of problem 2 by table and key.
-LISTS = ["desire_jd_city_id", "desire_jd_industry_id", "desire_jd_type_id", "experience"]
+#: The fields of problem 2 by table and key.
 LOOKS = [("table1_user", "user_id", ["experience"]), ("table2_jd", "jd_no", ["jd_title", "jd_sub_type"])]
 
 
@@ -47,7 +46,7 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "table1_user")
-    seps = packed.infer_separators(users, LISTS)
+    seps = packed.infer_separators(users, ["experience"])
     values = packed.explode_packed(users, "user_id", ["experience"], seps)
     jobs = table(spark, sf_dir, "table2_jd").select("jd_no", "jd_title").distinct()
     words = F.split(normalize.consistent_form(F.col("jd_title")), r"\s+")
