@@ -69,18 +69,18 @@ def _fold(m) -> str:
 
 
 def _word(m) -> str:
-    w = m.group()
+    """A run of letters; accents are taken off first, as they may have joined a letter of the wrong script."""
+    w = unicodedata.normalize("NFD", m.group())
     latin = regex.findall(r"\p{Latin}", w)
     foreign = regex.findall(r"[\p{Cyrillic}\p{Greek}]", w)
     if not foreign:
-        return "".join(LATIN_OF.get(c, c) if c in ALIKE_LATIN_ONLY[:2] else c for c in w)
-    if not [c for c in latin if c not in ALIKE_LATIN_ONLY]:
-        return w
-    if all(c in LATIN_OF for c in foreign):
-        return unicodedata.normalize("NFC", "".join(LATIN_OF.get(c, c) if c not in "ı" else c for c in w))
-    if all(c in CYRILLIC_OF for c in latin):
-        return "".join(CYRILLIC_OF.get(c, c) for c in w)
-    return w
+        w = "".join(LATIN_OF.get(c, c) if c in ALIKE_LATIN_ONLY[:2] else c for c in w)
+    elif any(c not in ALIKE_LATIN_ONLY for c in latin):
+        if all(c in LATIN_OF for c in foreign):
+            w = "".join(c if c == "ı" else LATIN_OF.get(c, c) for c in w)
+        elif all(c in CYRILLIC_OF for c in latin):
+            w = "".join(CYRILLIC_OF.get(c, c) for c in w)
+    return unicodedata.normalize("NFC", w)
 
 
 def consistent(s: str | None) -> str | None:

@@ -97,7 +97,7 @@ FORMS = [
     ("Јava开发", "Java开发"), ("ＥＲР", "ERP"), ("oﬀеr", "offer"), ("Técnісo", "Técnico"), ("护⼠", "护士"), ("⻔店", "门店"),
     ("预﻿算​", "预算"), ("a b　c", "a b c"), ("e​́", "é"), ("물", "물"), ("理", "理"),
     ("разрaботчик", "разработчик"), ("，；｜（Ａ）", ",;|(A)"), ("Инженер по", "Инженер по"), ("a  b\t\n", "a  b\t\n"), ("、。", "、。"),
-    ("Kỹ sư", "Kỹ sư"), ("", ""), (None, None), ("x" * 100_000 + "​", "x" * 100_000),
+    ("Kỹ sư", "Kỹ sư"), ("Qualita\u0308tspr\u00fcfung".replace("a\u0308", "\u0430\u0308"), "Qualitätsprüfung"), ("", ""), (None, None), ("x" * 100_000 + "​", "x" * 100_000),
 ]
 
 
