@@ -51,12 +51,19 @@ def top_n(df: DataFrame, group: str, item: str, scores: list[tuple[Column, int]]
     range on (group, scores, item), so a hot group is spread over many partitions; each partition
     keeps at most n rows of a group, and the counts of earlier partitions make positions exact.
     """
-    names = [f"__s{i}" for i in range(len(scores))]
-    rows = df.select(
-        F.col(group).alias("__g"), F.col(item).alias("__i"),
-        F.struct(*[F.coalesce(c.cast("bigint"), F.lit(null)).alias(s) for (c, null), s in zip(scores, names, strict=True)]).alias("__best"),
-    ).where("__g is not null and __i is not null")
-    best = rows.groupBy("__g", "__i").agg(F.max("__best").alias("__best")).select("__g", "__i", *[F.col(f"__best.{s}").alias(s) for s in names])
+    rows = df.select(F.col(group).alias("__g"), F.col(item).alias("__i"), *[c.alias(f"__s{k}") for k, (c, _) in enumerate(scores)])
+    kinds = dict(rows.dtypes)
+    filled = [F.coalesce(F.col(f"__s{k}").cast("bigint"), F.lit(null).cast("bigint")) for k, (_, null) in enumerate(scores)]
+    rows = rows.where("__g is not null and __i is not null")
+    if len(scores) <= 2 and all(kinds[f"__s{k}"] in ("tinyint", "smallint", "int") for k in range(len(scores))):
+        # Two 32-bit scores in one number: its maximum is aggregated by hash, that of a struct only by sorting.
+        first, second = [*filled, F.lit(0).cast("bigint")][:2]
+        names, best = ["__s0"], F.max(F.shiftleft(first, 32) + second + F.lit(1 << 31)).alias("__s0")
+        best = rows.groupBy("__g", "__i").agg(best)
+    else:
+        names = [f"__s{k}" for k in range(len(scores))]
+        best = F.max(F.struct(*[f.alias(n) for f, n in zip(filled, names, strict=True)])).alias("__best")
+        best = rows.groupBy("__g", "__i").agg(best).select("__g", "__i", *[F.col(f"__best.{n}").alias(n) for n in names])
     order = [F.col("__g"), *[F.col(s).desc() for s in names], F.col("__i")]
     ordered = best.repartitionByRange(*order).sortWithinPartitions(*order).select("__g", "__i")
     types = dict(ordered.dtypes)

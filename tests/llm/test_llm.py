@@ -166,6 +166,11 @@ def test_top_items(spark):
     rows += [(None, "j1", 1), ("g1", None, 1)]
     df = spark.createDataFrame(rows, "g string, i string, position int").repartition(7)
     got = {(r["g"], r["i"], r["position"]) for r in topn.top_n(df, "g", "i", [(F.col("position"), -1)], 5).collect()}
+    wide = topn.top_n(df.withColumn("w", F.col("position").cast("bigint")), "g", "i", [(F.col("w"), -1), (F.lit(0), 0)], 5)
+    assert {tuple(r) for r in wide.collect()} == got
+    signs = spark.createDataFrame([("g", "a", -5, -7), ("g", "b", -5, 7), ("g", "c", 0, -9), ("g", "d", None, 0)], "g string, i string, s int, t int")
+    ranked = topn.top_n(signs, "g", "i", [(F.col("s"), -1), (F.col("t"), -1)], 9).orderBy("position").collect()
+    assert [r["i"] for r in ranked] == ["c", "d", "b", "a"]
     best = {}
     for g, i, s in rows:
         if g and i:
