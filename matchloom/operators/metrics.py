@@ -9,12 +9,12 @@ from .ranking import average_percentile, positions
 
 
 def average_precision(ranked: DataFrame, user: str, rank: str, hit: Column, total: DataFrame | None = None) -> DataFrame:
-    """``user``, ``ap``. The divisor is the number of hits in the ranking, or ``total`` (``user``, ``n``) with hits never ranked. Users without hits are left out."""
+    """``user``, ``ap``. The divisor is the number of hits in the ranking, or ``total`` (``user``, ``n``) with hits never ranked, whose users without a ranked hit have 0. Users without hits are left out."""
     hits = positions(ranked.where(hit), [user], [F.col(rank)], "__i")
     per = hits.groupBy(user).agg(F.sum(F.col("__i") / F.col(rank)).alias("s"), F.count("*").alias("n"))
     if total is not None:
-        per = per.drop("n").join(total, user)
-    return per.select(user, (F.col("s") / F.col("n")).alias("ap"))
+        per = total.join(per.drop("n"), user, "left")
+    return per.select(user, (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
 
 
 def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
