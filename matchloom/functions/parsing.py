@@ -60,7 +60,18 @@ def cleaned(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Different lower-case words of more than one character, in order."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1))
+    return F.array_distinct(words(c))
+
+
+def words(c: Column) -> Column:
+    """Lower-case words of more than one character, in order, repeats kept."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1)
+
+
+def word_pairs(w: Column) -> Column:
+    """Neighbouring words of an array, joined by a blank."""
+    n = F.size(w) - 1
+    return F.when(n > 0, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
 def families(c: Column) -> Column:

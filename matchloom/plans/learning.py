@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.feature import HashingTF, IDF
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.mllib.linalg import Vectors, VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..operators import ranking
 from ..session import checkpointed, table
-from .catalog import actions, jobs
+from .catalog import ACTION_KEYS, actions, jobs, users
 from .registry import query
 
 FEATURES = ["pair_n", "user_n", "job_n"]
+#: Up to so many terms their products are held on the driver (8 bytes each).
+GRAM = 2000
 
 
 def out_of_fold(df: DataFrame, label: str, features: list[str], fold: str, folds: int = 5, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -57,12 +63,77 @@ def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imp.groupBy("feature").agg(F.avg("splits").alias("avg_splits"), F.avg("gain").alias("avg_gain"))
 
 
+def _weighted(counts: DataFrame, docs: int, most: int | None) -> tuple[DataFrame, int]:
+    """(``doc``, ``ix``, ``w``: the TF-IDF row of unit length of each document that has terms, number of terms)."""
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("total"))
+    if most is not None:
+        terms = terms.orderBy(F.desc("total"), "term").limit(most)
+    terms = ranking.running(terms, [F.col("term")], F.lit(1), "ix")
+    terms = checkpointed(terms.select("term", (F.col("ix") - 1).cast("int").alias("ix"), (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    x = counts.join(terms, "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ix", (F.col("c") * F.col("idf")).alias("w")))).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, y: s + y["w"] * y["w"]))
+    x = x.withColumn("norm", norm).select("doc", F.col("x.ix").alias("ix"), F.transform("x", lambda y: y["w"] / F.col("norm")).alias("w"))
+    return checkpointed(x), terms.count()
+
+
+def reduced(docs: DataFrame, counts: DataFrame, key: str, most: int | None = None, k: int = 10, gram: int = GRAM) -> DataFrame:
+    """``key``, ``vector``: a truncated SVD of the TF-IDF rows of ``docs`` by ``counts`` (``doc``, ``term``, ``c``).
+
+    ``most`` keeps the most frequent terms; without it the vocabulary has no bound. At most k
+    numbers, fewer for fewer terms or documents; documents without terms get zeros. The largest
+    entry of each direction is positive. Up to ``gram`` terms need one pass (products of terms on
+    the driver), more a pass per step of the solver; the driver holds k numbers a term.
+    """
+    spark, docs = docs.sparkSession, checkpointed(docs.select(key).distinct())
+    n_docs = docs.count()
+    x, n = _weighted(counts, n_docs, most)
+    k = min(k, n, n_docs)
+    v = np.zeros((n, k))
+    if k:
+        vector = F.udf(lambda i, w: Vectors.sparse(n, i, w), VectorUDT())
+        rows = RowMatrix(x.select(vector("ix", "w").alias("x")))
+        found = np.linalg.eigh(rows.computeGramianMatrix().toArray())[1][:, ::-1][:, :k] if n <= gram else rows.computeSVD(k).V.toArray()
+        v[:, : found.shape[1]] = found * np.where(found[np.abs(found).argmax(0), np.arange(found.shape[1])] < 0, -1, 1)
+    held = spark.sparkContext.broadcast(v)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("ix").offsets.to_numpy()
+            i, w = (b.column(c).values.to_numpy() for c in ("ix", "w"))
+            out = [w[lo:hi] @ held.value[i[lo:hi]] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.list_(pa.float64()))], ["doc", "vector"])
+
+    got = x.mapInArrow(project, f"doc {dict(x.dtypes)['doc']}, vector array<double>")
+    return docs.join(got, docs[key] == got["doc"], "left").select(key, F.coalesce("vector", F.array_repeat(F.lit(0.0), k)).alias("vector"))
+
+
 @query()
 def tfidf_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten components of the TF-IDF vectors of job titles (1,000 hashed terms and pairs of terms)."""
-    j = jobs(spark, sf_dir).select("jd_no", F.coalesce(P.tokens(F.col("jd_title")), F.array().cast("array<string>")).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    j = j.select("jd_no", F.concat("w", F.coalesce(pairs, F.array().cast("array<string>"))).alias("w"))
-    tf = checkpointed(HashingTF(numFeatures=1000, inputCol="w", outputCol="tf").transform(j))
-    x = IDF(inputCol="tf", outputCol="x").fit(tf).transform(tf)
-    return PCA(k=10, inputCol="x", outputCol="v").fit(x).transform(x).select("jd_no", vector_to_array("v").alias("vector"))
+    """Ten components of the TF-IDF vectors of job descriptions, by the 1,000 most frequent words and pairs of words."""
+    j = jobs(spark, sf_dir).select("jd_no", P.words(F.coalesce("job_description", F.lit(""))).alias("w"))
+    counts = j.select(F.col("jd_no").alias("doc"), F.explode(F.concat("w", P.word_pairs(F.col("w")))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("c"))
+    return reduced(j, counts, "jd_no", most=1000)
+
+
+@query()
+def tfidf_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten components of the TF-IDF vectors of the joined experiences of each job's people, by all words and pairs of words.
+
+    People of the actions on known jobs come first, then those of the exposures, each by
+    ``user_id``; the pair of words where two experiences meet counts too. The joined text is
+    never built.
+    """
+    known = jobs(spark, sf_dir).select("jd_no")
+    acted = actions(spark, sf_dir).select("user_id", "jd_no").distinct().join(known, "jd_no", "left_semi")
+    shown = table(spark, sf_dir, "user_exposure").where(ACTION_KEYS).select("user_id", "jd_no").distinct()
+    p = acted.select("jd_no", "user_id", F.lit(0).alias("part")).union(shown.select("jd_no", "user_id", F.lit(1).alias("part")))
+    missing = F.array(F.lit("nan"))
+    u = users(spark, sf_dir).select("user_id", P.words(F.coalesce("experience", F.lit("nan"))).alias("w"))
+    inner = p.join(u, "user_id", "left").select(F.col("jd_no").alias("doc"), F.coalesce("w", missing).alias("w"))
+    inner = inner.select("doc", F.explode(F.concat("w", P.word_pairs(F.col("w")))).alias("term"))
+    ends = u.select("user_id", F.try_element_at("w", F.lit(1)).alias("a"), F.try_element_at("w", F.lit(-1)).alias("z"), F.lit(True).alias("held"))
+    met = p.join(ends, "user_id", "left").withColumns({x: F.when(F.col("held"), F.col(x)).otherwise("nan") for x in "az"}).where("a is not null")
+    before = F.lag("z").over(Window.partitionBy("jd_no").orderBy("part", "user_id"))
+    met = met.select(F.col("jd_no").alias("doc"), "a", before.alias("z")).where("z is not null").select("doc", F.concat_ws(" ", "z", "a").alias("term"))
+    counts = inner.union(met).groupBy("doc", "term").agg(F.count("*").alias("c"))
+    return reduced(p, counts, "jd_no")

@@ -1,10 +1,16 @@
 """Queries and operators that do the whole of what the surveyed system does."""
 
+import collections
+import math
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchloom.operators import metrics
+from matchloom.plans import learning
 
 
 def test_average_precision_of_users_never_ranked(spark):
@@ -19,3 +25,53 @@ def test_semantic_map_covers_all_ranks(spark, sf_dir):
     every = q["map_pipeline"](spark, sf_dir).agg(F.avg("ap")).first()[0]
     assert q["map_semantic_all"](spark, sf_dir).first()["map"] == pytest.approx(every, abs=1e-6)
     assert q["map_semantic"](spark, sf_dir).first()["map"] < every / 2
+
+
+def _terms(text):
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if len(x) > 1]
+    return collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+
+def _products(texts, most=None, k=10):
+    """Products of the documents' vectors in a dense truncated SVD, which no sign changes."""
+    tf = [_terms(x) for x in texts]
+    total = sum(tf, collections.Counter())
+    vocab = sorted(total, key=lambda t: (-total[t], t))[:most]
+    df = [sum(t in c for c in tf) for t in vocab]
+    x = np.array([[c[t] * (math.log((1 + len(tf)) / (1 + d)) + 1) for t, d in zip(vocab, df)] for c in tf])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    y = u[:, :k] * s[:k]
+    return y @ y.T
+
+
+def _got(df, keys):
+    found = {r["jd_no"]: r["vector"] for r in df.collect()}
+    assert set(found) == set(keys)
+    y = np.array([found[k] for k in keys])
+    return y @ y.T
+
+
+def test_reduced_descriptions(spark, sf_dir):
+    rows = {r["jd_no"]: r["job_description"] or "" for r in spark.read.parquet(f"{sf_dir}/table2_jd.parquet").collect()}
+    assert np.allclose(_got(entry.queries()["tfidf_reduced"](spark, sf_dir), rows), _products(rows.values(), 1000), atol=1e-6)
+
+
+def test_reduced_experiences(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()
+    text = {r["user_id"]: "nan" if r["experience"] is None else r["experience"] for r in read("table1_user")}
+    known = {r["jd_no"] for r in read("table2_jd")}
+    pairs = [{(r["jd_no"], r["user_id"]) for r in read(t) if r["jd_no"] and r["user_id"]} for t in ("table3_action", "user_exposure")]
+    joined = collections.defaultdict(list)
+    for j, u in [*sorted(p for p in pairs[0] if p[0] in known), *sorted(pairs[1])]:
+        joined[j].append(text.get(u, "nan"))
+    assert np.allclose(_got(entry.queries()["tfidf_experience"](spark, sf_dir), joined), _products([" ".join(x) for x in joined.values()]), atol=1e-6)
+
+
+def test_reduced_small(spark):
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "jd_no string")
+    counts = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "x", 1)], "doc string, term string, c long")
+    for gram in (0, 2000):
+        got = {r["jd_no"]: r["vector"] for r in learning.reduced(docs, counts, "jd_no", gram=gram).collect()}
+        assert got["c"] == [0.0, 0.0] and [math.hypot(*got[x]) for x in "ab"] == pytest.approx([1, 1])
+    assert learning.reduced(docs, counts.limit(0), "jd_no").first()["vector"] == []
