@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -235,13 +235,38 @@ s as (select *, case when n1 + n2 - i > 0 then i / (n1 + n2 - i) else 0 end as j
 select user_id, jd_no, i as common, round(jac, 6) as jac, round(0.4e0 * jac + 0.4e0 * case when jac > 0.1e0 then cos else 0 end
   + 0.2e0 * case when greatest(n1, n2) > 0 then i / greatest(n1, n2) else 0 end, 6) as likeness from s""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = users(spark, sf_dir).select("user_id", P.tokens(F.col("experience")).alias("a"))
-    j = jobs(spark, sf_dir).select("jd_no", P.tokens(F.col("job_description")).alias("b"))
+    """Only pairs that have both texts, as its SQL says; ``text_similarity_all`` has every pair."""
+    u, j = _texts(spark, sf_dir)
     x = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct().join(u, "user_id").join(j, "jd_no").where("a is not null and b is not null")
+    return _likeness(x)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    u = users(spark, sf_dir).select("user_id", P.tokens(F.col("experience")).alias("a"))
+    return u, jobs(spark, sf_dir).select("jd_no", P.tokens(F.col("job_description")).alias("b"))
+
+
+def _likeness(x: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return x.select("user_id", "jd_no", F.size(F.array_intersect(a, b)).cast("bigint").alias("common"), F.round(S.jaccard(a, b), 6).alias("jac"), F.round(S.text_likeness(a, b), 6).alias("likeness"))
 
 
+_EXP_ALL = f"(select distinct user_id, jd_no from user_exposure) e left join {_USERS} u on u.user_id = e.user_id left join {_JOBS} j on j.jd_no = e.jd_no"
+
+
+@query(f"""with t as (select e.user_id, e.jd_no, coalesce({_TOK.format('u.experience')}, []) as a, coalesce({_TOK.format('j.job_description')}, []) as b from {_EXP_ALL}),
+j as (select user_id, jd_no, len(list_intersect(a, b)) as i, len(a) as n1, len(b) as n2 from t),
+s as (select *, case when n1 + n2 - i > 0 then i / (n1 + n2 - i) else 0 end as jac,
+  case when n1 > 0 and n2 > 0 then i / sqrt((i + (1 + ln(1.5e0)) ^ 2 * (n1 - i)) * (i + (1 + ln(1.5e0)) ^ 2 * (n2 - i))) else 0 end as cos from j)
+select user_id, jd_no, i as common, round(jac, 6) as jac, round(0.4e0 * jac + 0.4e0 * case when jac > 0.1e0 then cos else 0 end
+  + 0.2e0 * case when greatest(n1, n2) > 0 then i / greatest(n1, n2) else 0 end, 6) as likeness from s""")
+def text_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exposed pair; 0 where a text is missing."""
+    u, j = _texts(spark, sf_dir)
+    x = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct().join(u, "user_id", "left").join(j, "jd_no", "left")
+    return _likeness(x.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in "ab"}))
+
+
 @query(f"""select e.user_id, e.jd_no, case when u.experience is null or j.jd_sub_type is null then 0 else
 cast(len(list_intersect(list_distinct(list_concat(coalesce({_TOK.format('j.jd_title')}, []), {_TOK.format('j.jd_sub_type')})), {_TOK.format('u.experience')})) as bigint) end as hits from {_EXP}""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,9 +281,13 @@ w as (select *, list_transform(segs, lambda s, i: pow(0.8e0, i - 1)) as ws, list
   else least(1e0, len(list_intersect({_TOK.format('s')}, kw)) / sqrt(len({_TOK.format('s')})) * case when len(list_filter(kw, lambda k: contains(s, k))) > 0 then 1.2e0 else 1e0 end) end) as q from t)
 select user_id, jd_no, round(list_sum(list_transform(q, lambda x, i: x * ws[i])) / list_sum(ws), 6) as quality from w""")
 def experience_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pairs that have an experience, as its SQL says; ``experience_quality_all`` has every pair."""
     kw = P.keywords(F.concat_ws(" ", "jd_title", "jd_sub_type"))
     x = _exposed(spark, sf_dir).where("experience is not null").select("user_id", "jd_no", F.split("experience", r"\|").alias("segs"), kw.alias("kw"))
+    return x.select("user_id", "jd_no", _quality().alias("quality"))
+
 
+def _quality() -> Column:
     def one(s):
         t = P.tokens(s)
         held = F.exists("kw", lambda k: s.contains(k))
@@ -268,7 +297,20 @@ def experience_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.transform("segs", lambda s, i: F.pow(F.lit(0.8), i))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     q = F.transform("segs", lambda s, i: one(s) * F.pow(F.lit(0.8), i))
-    return x.select("user_id", "jd_no", F.round(total(q) / total(w), 6).alias("quality"))
+    return F.round(total(q) / total(w), 6)
+
+
+@query(f"""with t as (select e.user_id, e.jd_no, case when j.jd_title is not null then string_split(u.experience, '|') end as segs, list_filter({_TOK.format("concat_ws(' ', j.jd_title, j.jd_sub_type)")}, lambda x: not regexp_matches(x, '[0-9]')) as kw from {_EXP_ALL}),
+w as (select *, list_transform(segs, lambda s, i: pow(0.8e0, i - 1)) as ws, list_transform(segs, lambda s: case when len({_TOK.format('s')}) = 0 then 0e0
+  else least(1e0, len(list_intersect({_TOK.format('s')}, kw)) / sqrt(len({_TOK.format('s')})) * case when len(list_filter(kw, lambda k: contains(s, k))) > 0 then 1.2e0 else 1e0 end) end) as q from t)
+select user_id, jd_no, coalesce(round(list_sum(list_transform(q, lambda x, i: x * ws[i])) / list_sum(ws), 6), 0e0) as quality from w""")
+def experience_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exposed pair; 0 where the experience or the title is missing."""
+    e = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
+    u = users(spark, sf_dir).select("user_id", F.split("experience", r"\|").alias("segs"))
+    j = jobs(spark, sf_dir).select("jd_no", "jd_title", P.keywords(F.concat_ws(" ", "jd_title", "jd_sub_type")).alias("kw"))
+    both = F.col("segs").isNotNull() & F.col("jd_title").isNotNull()
+    return e.join(u, "user_id", "left").join(j, "jd_no", "left").select("user_id", "jd_no", F.when(both, _quality()).otherwise(0.0).alias("quality"))
 
 
 @query(f"select a.user_id, a.jd_no, a.t as jd_title, b.name from (select user_id, jd_no, lower(jd_title) as t from {_JOBS} j join (select distinct user_id, jd_no from user_exposure) e using (jd_no)) a join (select distinct ref_name as name from ref_item where ref_kind = 'job_type') b on contains(a.t, lower(b.name))")

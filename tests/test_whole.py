@@ -75,3 +75,14 @@ def test_reduced_small(spark):
         got = {r["jd_no"]: r["vector"] for r in learning.reduced(docs, counts, "jd_no", gram=gram).collect()}
         assert got["c"] == [0.0, 0.0] and [math.hypot(*got[x]) for x in "ab"] == pytest.approx([1, 1])
     assert learning.reduced(docs, counts.limit(0), "jd_no").first()["vector"] == []
+
+
+@pytest.mark.parametrize(("name", "score", "texts"), [("text_similarity_all", "likeness", ("experience", "job_description")), ("experience_quality_all", "quality", ("experience", "jd_title"))])
+def test_every_exposed_pair_has_a_score(spark, sf_dir, name, score, texts):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    pairs = read("user_exposure").select("user_id", "jd_no").distinct()
+    got = entry.queries()[name](spark, sf_dir).toPandas()
+    assert len(got) == pairs.count() == len(got.drop_duplicates(["user_id", "jd_no"])) and got[score].notna().all()
+    u, j = read("table1_user").dropDuplicates(["user_id"]), read("table2_jd").dropDuplicates(["jd_no"])
+    bare = pairs.join(u, "user_id", "left").join(j, "jd_no", "left").where(" or ".join(f"{t} is null" for t in texts)).select("user_id", "jd_no").toPandas()
+    assert len(bare) and set(bare.merge(got)[score]) == {0.0} and len(bare.merge(got)) == len(bare)
