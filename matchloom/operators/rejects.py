@@ -1,8 +1,8 @@
 """Loading of delimited lines that may break the format (problem 3).
 
 Blocks of lines go through a columnar path (one syntax match, one CSV parse and vectorised value
-checks over the whole block). A block that fails anywhere is halved again and again; what is left
-in blocks of at most ``LEAF`` lines is scanned strictly, line by line, to name the reason.
+checks over the whole block). A block that fails anywhere is halved again and again, down to
+single lines; a single line that fails is scanned strictly to name the reason.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ COLUMNS = [
 NUMBERS = ["city", "min_salary", "max_salary", "min_years"]
 DATES = ["start_date", "end_date"]
 TITLES = ["jd_title", "jd_sub_type"]
-BLOCK, LEAF = 1024, 32
+BLOCK = 1024
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t\r\n]*)'
 #: A whole line in the columnar path: no line break outside quotes, so lines can be joined.
@@ -144,22 +144,19 @@ def _solve(keys: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
     todo = [(0, len(text))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo > LEAF:
-            cols = _columnar(text.slice(lo, hi - lo))
-            if cols is None:
-                mid = (lo + hi) // 2
-                todo += [(mid, hi), (lo, mid)]
-                continue
+        cols = _columnar(text.slice(lo, hi - lo))
+        if cols is not None:
             yield pa.RecordBatch.from_arrays(
                 [keys.slice(lo, hi - lo), *cols, pa.nulls(hi - lo, pa.string())], schema=_OUT
             )
+        elif hi - lo > 1:
+            mid = (lo + hi) // 2
+            todo += [(mid, hi), (lo, mid)]
         else:
-            found = [_scanned(x) for x in text.slice(lo, hi - lo).to_pylist()]
-            none = [None] * len(COLUMNS)
-            cols = zip(*(f or none for f, _ in found), strict=True)
+            found, reason = _scanned(text[lo].as_py())
             yield pa.RecordBatch.from_arrays(
-                [keys.slice(lo, hi - lo), *(pa.array(c, pa.string()) for c in cols),
-                 pa.array([r for _, r in found], pa.string())], schema=_OUT,
+                [keys.slice(lo, 1), *(pa.array([v], pa.string()) for v in found or [None] * len(COLUMNS)),
+                 pa.array([reason], pa.string())], schema=_OUT,
             )
 
 

@@ -5,11 +5,12 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchloom.operators import metrics
+from matchloom.operators import metrics, rejects
 from matchloom.plans import learning
 
 
@@ -86,3 +87,13 @@ def test_every_exposed_pair_has_a_score(spark, sf_dir, name, score, texts):
     u, j = read("table1_user").dropDuplicates(["user_id"]), read("table2_jd").dropDuplicates(["jd_no"])
     bare = pairs.join(u, "user_id", "left").join(j, "jd_no", "left").where(" or ".join(f"{t} is null" for t in texts)).select("user_id", "jd_no").toPandas()
     assert len(bare) and set(bare.merge(got)[score]) == {0.0} and len(bare.merge(got)) == len(bare)
+
+
+def test_bisection_leaves_only_bad_lines_to_the_scanner(monkeypatch):
+    good = "\t".join(["0123456789abcdef" * 2, "a", "b", "530", "100", "", "", "c", "20190228", "", "text"])
+    lines = [good + "\t" if i % 13 == 5 else good for i in range(500)]
+    seen, scan = [], rejects._scanned
+    monkeypatch.setattr(rejects, "_scanned", lambda x: seen.append(x) or scan(x))
+    out = pa.Table.from_batches(rejects._solve(pa.array(range(500), pa.int64()), pa.array(lines)))
+    assert seen == [x for x in lines if x != good]
+    assert out["line_no"].to_pylist() == list(range(500)) and out["reason"].to_pylist() == [None if x == good else "column_count" for x in lines]
