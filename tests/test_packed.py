@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 
 from matchloom.operators import packed
 
-SEPS = packed.USUAL
+SEPS = ["|", "｜", ";", "；", "\t", "\n", ",", "，", "、"]
 
 
 def plain_split(v, seps):
@@ -76,6 +77,36 @@ def test_inference_at_every_size(spark, n):
     assert packed.explode_packed(df, "id", ["v"]).count() == 5 * n
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_same_separators_as_a_noisy_table_grows(spark, times):
+    """Decorated and misspelt names, and a hot text held by a third of all rows, move no verdict."""
+    rng = random.Random(times)
+    words = ["TCP/IP", "C/C++", "A/B", "PL/SQL", "SQL Server", "unit test", *(f"w{i}" for i in range(60))]
+
+    def noisy(w):
+        if rng.random() < 0.15:
+            at = rng.randrange(len(w) + 1)
+            return w[:at] + rng.choice("abcdefghijklmnop") + str(rng.randrange(10**6)) + w[at:]
+        return w
+
+    rows = []
+    for i in range(100 * times):
+        d = rng.choice(["|", ";", "、", "; "])
+        v = "TCP/IP|C/C++;w1|w2" if i % 3 == 0 else d.join(noisy(rng.choice(words)) for _ in range(rng.randint(1, 12)))
+        rows.append((str(i), v))
+    df = spark.createDataFrame(rows, "id string, v string")
+    seps = packed.infer_separators(df, ["v"])["v"]
+    assert {"|", ";", "、"} <= set(seps) and not {"/", " ", "-"} & set(seps)
+
+
+def test_scores_are_shares(spark):
+    df = spark.createDataFrame([(f"a{i % 7},b{i % 11},c{i % 13} d{i % 13}",) for i in range(500)], "v string")
+    got = {r["sep"]: r for r in packed.separator_scores(df, ["v"]).collect()}
+    assert got[","]["gaps"] == 1000 and got[" "]["gaps"] == 500
+    assert got[","]["alone"] / got[","]["gaps"] == pytest.approx(2 / 3) and got[" "]["alone"] / got[" "]["gaps"] == pytest.approx(1 / 3)
+    assert got[","]["varied"] / got[","]["seen"] > 0.8 and abs(got[" "]["varied"] / got[" "]["seen"]) < 0.05
+
+
 def test_rows_without_key_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a,b", 1), ("u", "a,b", 1), ("u", "a,b", 2)], "id string, v string, pos int")
     assert [tuple(r) for r in packed.explode_packed(df, "id", ["v"]).orderBy("pos").collect()] == [("u", "v", 1, "a"), ("u", "v", 2, "b")]
