@@ -30,7 +30,9 @@ LEAST_SCORE = 0.15
 #: Sizes of the sketch of neighbouring pieces: left pieces, and right pieces of each.
 LEFTS, RIGHTS = 1024, 64
 
-_TRIM = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: All blanks: ASCII white space and the Unicode separators.
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = " \t\n\x0b\f\r" + _SPACES
 _QUOTED = r'''"[^"]*+(?:""[^"]*+)*+"'''
 
 
@@ -39,18 +41,16 @@ def _cls(chars: list[str]) -> str:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, _TRIM, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
-def _bare(c: Column) -> Column:
-    """The trimmed text without the brackets around it; null where it says nothing."""
-    t = _trim(c)
-    t = F.when(t.isin(*NOTHING), F.lit(None)).otherwise(t)
-    inner = t
+def _bare(t: Column) -> Column:
+    """A trimmed text without the brackets around it; null where it says nothing. ``t`` is used often, so it should be a column."""
+    inner = F.substr(t, F.lit(2), F.length(t) - 2)
+    out = F.when(~t.isin(*NOTHING), t)
     for a, z in BRACKETS:
-        whole = rf"(?s)^\{a}[^\{a}\{z}]*+\{z}$"
-        inner = F.when(t.rlike(whole), F.regexp_replace(t, rf"^\{a}|\{z}$", "")).otherwise(inner)
-    return inner
+        out = F.when(t.startswith(a) & t.endswith(z) & (F.length(t) > 1) & ~inner.contains(a) & ~inner.contains(z), inner).otherwise(out)
+    return out
 
 
 def separator_scores(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -65,19 +65,21 @@ def separator_scores(df: DataFrame, fields: list[str]) -> DataFrame:
     sums, LEFTS x RIGHTS cells per field and mark however large the table; cells hold several pieces
     without bias, and one hot piece or text weighs by its occurrences only.
     """
-    plain = "".join(m * (len(forms) - 1) for m, forms in MARKS.items())
-    other = "".join(forms.replace(m, "", 1) for m, forms in MARKS.items())
-    c = _cls(list(MARKS))
-    hard = _cls([m for m in MARKS if m != " "])
+    plain = "".join(m * (len(forms) - 1) for m, forms in MARKS.items()) + " " * len(_SPACES)
+    other = "".join(forms.replace(m, "", 1) for m, forms in MARKS.items()) + _SPACES
+    gap = rf" *+([{_cls([m for m in MARKS if m != ' '])}])[{_cls(list(MARKS))}]*+| ++"
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x"))
-    v = F.regexp_replace(F.translate(F.regexp_replace(_bare(F.col("x.v")), _QUOTED, "\u0001"), other, plain), r"\p{Z}++", " ")
-    v = F.regexp_replace(v, rf" ?([{hard}])[{c}]*+", "$1")
-    long = long.select("x.field_name", F.btrim(v, F.lit("".join(MARKS))).alias("v")).where("v <> ''")
-    rows = long.select("field_name", F.split("v", f"[{c}]").alias("p"), F.regexp_extract_all("v", F.lit(f"([{c}])")).alias("g"), *[
-        (F.length("v") - F.length(F.replace("v", F.lit(m), F.lit("")))).alias(f"n{i}") for i, m in enumerate(MARKS)
-    ]).where("size(g) > 0")
+    # One step a select, and no filter before or from the generators (outer ones infer none): an expression
+    # that is used more than once would be computed as often.
+    long = long.select("x.field_name", _trim(F.col("x.v")).alias("v")).select("field_name", _bare(F.col("v")).alias("v"))
+    long = long.select("field_name", F.when(F.col("v").contains('"'), F.regexp_replace("v", _QUOTED, "\u0001")).otherwise(F.col("v")).alias("v"))
+    long = long.select("field_name", F.btrim(F.translate("v", other, plain), F.lit("".join(MARKS))).alias("v"))
+    rows = long.select("field_name", "v", F.regexp_extract_all("v", F.lit(gap)).alias("g"))
+    rows = rows.select("field_name", F.split("v", gap).alias("p"), "g", F.array_join("g", "").alias("j"))
+    counts = [F.length("j") - F.length(F.replace("j", F.lit(m), F.lit(""))) if m != " " else F.size("g") - F.length("j") for m in MARKS]
+    rows = rows.select("field_name", "p", "g", *[n.alias(f"n{i}") for i, n in enumerate(counts)])
     own = F.coalesce(*[F.when(F.col("sep") == m, F.col(f"n{i}")) for i, m in enumerate(MARKS)])
-    gaps = rows.select("*", F.posexplode("g").alias("at", "sep"))
+    gaps = rows.select("*", F.posexplode_outer("g").alias("at", "sep")).where("at is not null").withColumn("sep", F.when(F.col("sep") == "", " ").otherwise(F.col("sep")))
     gaps = gaps.select("field_name", "sep", (own / F.size("g")).alias("share"), F.get("p", F.col("at")).alias("l"), F.get("p", F.col("at") + 1).alias("r"))
     left, both = F.xxhash64("l"), F.xxhash64("l", "r")
     sign = lambda h: 1 - 2 * F.shiftrightunsigned(h, 63)
@@ -147,7 +149,6 @@ def split_values(c: Column, seps: list[str] | None) -> Column:
     b = rf"[\s\p{{Z}}&&[^{d}]]"
     single = r"'[^']*+(?:''[^']*+)*+'"
     item = rf"{b}*({_QUOTED}|{single}|[^{d}]*){b}*(?:[{d}]|$)"
-    raw = F.regexp_extract_all(_bare(c), F.lit(item), F.lit(1))
 
     def clean(x: Column) -> Column:
         t = _trim(x)
@@ -158,7 +159,14 @@ def split_values(c: Column, seps: list[str] | None) -> Column:
             out = F.when(whole, _trim(F.replace(inside, F.lit(q + q), F.lit(q)))).otherwise(out)
         return out
 
-    return F.coalesce(F.filter(F.transform(raw, clean), lambda x: x != ""), empty)
+    def pieces(t: Column) -> Column:
+        quoted = F.transform(F.regexp_extract_all(t, F.lit(item), F.lit(1)), clean)
+        plain = F.transform(F.split(t, f"[{d}]"), _trim)
+        return F.filter(F.when(t.contains('"') | t.contains("'"), quoted).otherwise(plain), lambda x: x != "")
+
+    # Bound as variables of a one-item array, so that each step is computed once.
+    bare = F.transform(F.transform(F.array(c), _trim), _bare)
+    return F.coalesce(F.get(F.transform(bare, pieces), F.lit(0)), empty)
 
 
 def explode_packed(df: DataFrame, key: str, fields: list[str], seps: dict[str, list[str] | None] | None = None) -> DataFrame:
@@ -176,6 +184,7 @@ def explode_packed(df: DataFrame, key: str, fields: list[str], seps: dict[str, l
         "__key",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), split_values(F.col(n), seps[f]).alias("items")) for f, n in names.items()])).alias("x"),
     )
-    return long.select("__key", "x.field_name", F.posexplode("x.items").alias("p", "item")).select(
+    long = long.select("__key", "x.field_name", F.posexplode_outer("x.items").alias("p", "item")).where("p is not null")
+    return long.select(
         F.col("__key").alias(key), "field_name", (F.col("p") + 1).cast("bigint").alias("pos"), "item"
     )
