@@ -2,13 +2,18 @@
 
 Two steps per sentence: its family first (by script, and by a linear machine between the families
 of Latin script), then one-versus-one linear support vector machines between the languages of the
-family. Sentences are chained by the cheapest path, so that headings, list marks and separators,
-which are no evidence, follow the text around them.
+family. The machines see hashed n-grams of characters, hashed words and counts of classes (function words of a
+language, letters of its own, kinds of ideographs and kana), so that they also tell sentences which
+are unlike all of the sample. Sentences are chained by the cheapest path, so that headings, list marks
+and separators, which are hardly evidence, follow the text around them.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,14 +30,31 @@ NAMES = {
     "fr": "fr fra fre french français francais", "es": "es spa spanish español espanol castellano",
     "pt": "pt por portuguese português portugues", "ru": "ru rus russian русский", "ja": "ja jpn japanese 日本語 nihongo",
 }
+# Common function words of the languages of Latin script (those in one list only count), and letters that tell them apart.
+FUNCTION_WORDS = {
+    "en": "the of and to is for you with are be this we that have will from by at your it they our not was has can would their must what does here how been more than",
+    "de": "der die das und zu ist für sie mit auf sind wir von den dem ein eine einen im wird werden oder bei nicht sich als nach ihre zum zur aus auch durch hier",
+    "fr": "le les des et est pour vous avec sur du nous au une dans qui en il ou ce sa aux ne pas votre être sont cette leur par plus",
+    "es": "el los las y con del un una lo al o su fue está son nuestro nuestra muy usted hay cuando donde pero también ser esta",
+    "pt": "os uma com da dos das na no nos nas ao à não é mais seu sua ou foi são pelo você muito quando nossa nosso também isso tem",
+}
+LETTERS = {"de": "äöüß", "fr": "èêëîïôœùûç", "es": "ñ¿¡áíóú", "pt": "ãõâêôçáà"}
 LANGUAGES = [x for xs in FAMILIES.values() for x in xs]
 CODE_OF = {n: code for code, names in NAMES.items() for n in names.split()}
 
 #: Bounds of the labelled sample that the machines are fitted to: documents, sentences a language.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 2500, 500
+SAMPLE_DOCS, SAMPLE_SENTENCES = 2500, 1000
 BITS, ORDER, ROUNDS, COST = 16, 3, 60, 1e-4
+#: Classes follow the hashed n-grams among the features; an occurrence of one weighs as much as so many n-grams.
+CLASSES = ["none", *(f"word {x}" for x in FUNCTION_WORDS), *(f"letter {x}" for x in LETTERS), "hiragana", "katakana", "simplified", "japanese", "traditional"]
+CLASS_WEIGHT = 3
+DIMENSIONS = (1 << BITS) + len(CLASSES)
 #: Price of a change of language between sentences, and the scale of evidence, in nats.
 SWITCH, SCALE = 2.5, 4.0
+#: Sentences whose evidence a task keeps, for speed only.
+KNOWN = 50_000
+#: Weight of the evidence of a caption, and the most of a line without a closing mark.
+CAPTION, LINE = 0.02, 0.6
 
 _LETTER = regex.compile(r"\p{L}")
 _NOISE = regex.compile(r"<\|[^|>]*\|>|\[(?i:pad|unk|cls|sep|mask)\]|https?://\S+|\S+@\S+")
@@ -40,13 +62,14 @@ _END = regex.compile(r"[\r\n\u2028\u2029]+|[.!?…]+[\"'»”’)\]]*(?=\s|$)|[
 _ENDED = regex.compile(r"[.!?。！？…．][\"'»”’)\]」』）]*\s*(?:/\s*)?$")
 _HAN = regex.compile(r"\p{Han}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}ー]")
+_HAN_KANA = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _LATIN = regex.compile(r"\p{Latin}")
-_DIGITS = regex.compile(r"\d+")
+_DIGITS = re.compile(r"\d+")
 _NAME = regex.compile(
     r"(?<=[\s\p{Han}\p{Hiragana}\p{Katakana}])\p{Lu}\p{Latin}*|\p{Lu}\p{Latin}*(?=[\p{Han}\p{Hiragana}\p{Katakana}])"
 )
-_MARKS = regex.compile(r"^\W*(?:\(?\d+[.)、)]|[a-zA-Z][.)])?\W*")
+_MARKS = re.compile(r"^\W*(?:\(?\d+[.)、)]|[a-zA-Z][.)])?\W*")
 
 #: The machines in the order of the weight columns: (name, languages for plus, languages for minus).
 MACHINES = [("latin", FAMILIES["romance"], FAMILIES["germanic"])] + [
@@ -61,21 +84,37 @@ def label_code(c: Column) -> Column:
     return F.coalesce(F.try_element_at(m, t), F.try_element_at(m, F.regexp_extract(t, r"^([^-_ (;,.]+)", 1)))
 
 
-def units(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a sentence) of the parts of a text that hold letters. Lines without a closing mark are headings."""
+def _standing(part: str) -> float:
+    """How far a part without a closing mark is evidence: a caption is hardly any, a long line nearly as good as a sentence."""
+    if part[-1] in ":：":
+        return CAPTION
+    letters = len(_LETTER.findall(part)) + 3 * len(_HAN_KANA.findall(part))
+    return min(max((letters - 34) / 20, CAPTION), LINE)
+
+
+def units(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of the parts of a text that hold letters. Sentences weigh 1, lines without a closing mark less."""
     out, at = [], 0
+    noisy = _may_hold_noise(text)
     for a, z in itertools.chain((m.span() for m in _END.finditer(text)), [(len(text), len(text))]):
         part = text[at:z]
-        if "<" in part or "[" in part or "@" in part or "://" in part:
+        if noisy:
             part = _NOISE.sub(" ", part)
         if _LETTER.search(part):
-            out.append((at, z, bool(_ENDED.search(part.rstrip()))))
+            part = part.strip()
+            out.append((at, z, 1.0 if _ENDED.search(part) else _standing(part)))
         at = z
     return out
 
 
+def _may_hold_noise(s: str) -> bool:
+    return "<" in s or "[" in s or "@" in s or "://" in s
+
+
 def _cleaned(s: str) -> str:
-    return _DIGITS.sub("0", _MARKS.sub("", _NOISE.sub(" ", s), 1).lower()).strip()
+    if _may_hold_noise(s):
+        s = _NOISE.sub(" ", s)
+    return _DIGITS.sub("0", s[_MARKS.match(s).end() :].lower()).strip()
 
 
 def script(s: str) -> str:
@@ -86,8 +125,51 @@ def script(s: str) -> str:
     return max(weights, key=lambda k: weights[k])
 
 
+_NUMBER_OF = {c: i for i, c in enumerate(CLASSES)}
+_WORD_CLASSES: dict[str, list[int]] = {}
+for _x, _ws in FUNCTION_WORDS.items():
+    for _w in _ws.split():
+        _WORD_CLASSES.setdefault(_w, []).append(_NUMBER_OF[f"word {_x}"])
+_WORD_CLASSES = {w: xs for w, xs in _WORD_CLASSES.items() if len(xs) == 1}
+_SPLIT = str.maketrans(dict.fromkeys(",;:.!?()[]\"'’«»„“”/-–", " "))
+
+
+def _encodable(c: str, name: str) -> bool:
+    try:
+        return bool(c.encode(name))
+    except UnicodeEncodeError:
+        return False
+
+
+@functools.cache
+def char_classes(c: str) -> tuple[int, ...]:
+    """The classes of a character. Ideographs are told by the national character sets that have them."""
+    if "\u3040" <= c <= "\u309f":
+        return (_NUMBER_OF["hiragana"],)
+    if "\u30a0" <= c <= "\u30ff":
+        return (_NUMBER_OF["katakana"],)
+    if "\u3400" <= c <= "\u9fff":
+        zh, ja, old = (_encodable(c, x) for x in ("gb2312", "shift_jis", "big5"))
+        kind = "simplified" if zh and not ja and not old else "japanese" if ja and not zh and not old else "traditional" if ja and old and not zh else None
+        return () if kind is None else (_NUMBER_OF[kind],)
+    return tuple(_NUMBER_OF[f"letter {x}"] for x, cs in LETTERS.items() if c in cs)
+
+
+def classes(text: str) -> list[int]:
+    """Features of the classes met in a cleaned text and of its hashed words, once per occurrence; "none" comes first, so that no list is empty."""
+    out = [0]
+    if not text.isascii():
+        for c in text:
+            if c > "\x7f":
+                out += char_classes(c)
+    words = text.translate(_SPLIT).split()
+    for w in words:
+        out += _WORD_CLASSES.get(w, ())
+    return [(1 << BITS) + x for x in out] + [zlib.crc32(w.encode("utf-8", "surrogatepass")) >> (32 - BITS) for w in words if len(w) < 20]
+
+
 def features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """(hashed n-grams, where each text's begin) for every order, and norms; no n-gram crosses texts."""
+    """(hashed n-grams or classes, where each text's begin) for every order and for classes, and norms; no n-gram crosses texts."""
     padded = [f" {t}   " for t in texts]
     size = np.fromiter(map(len, padded), int, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64")
@@ -101,6 +183,9 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.n
         mixed = (h[inside] ^ (h[inside] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         grams.append((mixed >> np.uint64(64 - BITS)).astype("int64"))
         starts.append(np.cumsum(size - k + 1) - (size - k + 1))
+    met = [np.repeat(np.array(classes(t)), CLASS_WEIGHT) for t in texts]
+    grams.append(np.concatenate(met) if met else np.zeros(0, "int64"))
+    starts.append(np.cumsum([0, *map(len, met)])[:-1])
     return grams, starts, np.sqrt(ORDER * size.astype(float))
 
 
@@ -112,7 +197,7 @@ def margins(weights: np.ndarray, texts: list[str]) -> np.ndarray:
 
 def _machine(g: np.ndarray, owner: np.ndarray, norm: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a linear support vector machine with squared hinge loss (accelerated gradient descent)."""
-    vals, n, dim = 1 / norm[owner], len(y), 1 << BITS
+    vals, n, dim = 1 / norm[owner], len(y), DIMENSIONS
     share = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1)))
     u = np.ones(n)
     for _ in range(8):
@@ -131,10 +216,10 @@ def _machine(g: np.ndarray, owner: np.ndarray, norm: np.ndarray, y: np.ndarray)
 
 
 def fitted(labelled: dict[str, list[str]]) -> np.ndarray:
-    """Weights of all machines, (2^BITS) x machines; what the first fit contradicts is left out of the second."""
+    """Weights of all machines, DIMENSIONS x machines; what the first fit contradicts is left out of the second."""
     texts = [t for x in LANGUAGES for t in labelled.get(x, [])]
     lang = np.array([x for x in LANGUAGES for _ in labelled.get(x, [])])
-    out = np.zeros((1 << BITS, len(MACHINES)), "float32")
+    out = np.zeros((DIMENSIONS, len(MACHINES)), "float32")
     if not texts:
         return out
     grams, starts, norm = features(texts)
@@ -157,16 +242,21 @@ def fitted(labelled: dict[str, list[str]]) -> np.ndarray:
 def labelled_sample(docs: DataFrame, text: str, label: str) -> dict[str, list[str]]:
     """Different sentences by the language their documents are labelled with; a sample bounded by SAMPLE_DOCS and SAMPLE_SENTENCES.
 
-    Documents of at most 20,000 characters are drawn by a hash of their text. Sentences that differ
+    Documents of less than 20,000 characters are drawn by a hash of their text, copies once. Sentences that differ
     in numbers and capitalised names only are one, and the label that most of their documents bear
     is theirs, so single wrong labels carry no weight; the most frequent are taken first. A sentence in a script its label does not
     use is left out.
     """
     rows = docs.select(label_code(F.col(label)).alias("code"), F.col(text).cast("string").alias("t"))
-    rows = rows.where("code is not null and t is not null and length(t) < 20000")
+    rows = rows.where("code is not null and t is not null and length(t) < 20000").withColumn("h", F.xxhash64("t"))
+    # Copies of a text count once a label: the least hashes of different texts are drawn, below a bound
+    # that four times as many texts as needed are expected to keep.
+    different = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    bound = int(min(4 * SAMPLE_DOCS / max(different, 1), 1.0) * 2**32)
+    drawn = rows.where(F.shiftrightunsigned("h", 32) <= F.lit(bound)).groupBy("h", "code").agg(F.min("t").alias("t")).orderBy("h", "code").limit(SAMPLE_DOCS)
     votes: dict[str, Counter] = {}
     told: dict[str, str] = {}
-    for r in rows.orderBy(F.xxhash64("t"), "code").limit(SAMPLE_DOCS).collect():
+    for r in drawn.collect():
         for part in {r["t"][a:z] for a, z, _ in units(r["t"])}:
             sign = _cleaned(_NAME.sub("X", part))
             votes.setdefault(sign, Counter())[r["code"]] += 1
@@ -210,15 +300,20 @@ def _evidence(weights: np.ndarray, texts: list[str]) -> np.ndarray:
         for j, x in enumerate(FAMILIES[family]):
             out[here, index[x]] = np.maximum(prior + got[:, j], -12.0)[here]
     kana = np.array([len(_KANA.findall(t)) for t in texts])
+    # Ideographs alone: those that simplified Chinese has not tell against it, many without any for it.
     han = np.array([len(_HAN.findall(t)) for t in texts])
-    out[(scripts == "han") & (kana >= 2), index["ja"]] += 2
-    out[(scripts == "han") & (kana == 0) & (han >= 6), index["zh"]] += 2
+    other = np.array([sum(_NUMBER_OF["japanese"] in char_classes(c) or _NUMBER_OF["traditional"] in char_classes(c) for c in _HAN.findall(t)) for t in texts])
+    out[(scripts == "han") & ((kana >= 2) | (other >= 2)), index["ja"]] += 2
+    out[(scripts == "han") & (kana == 0) & (other == 0) & (han >= 6), index["zh"]] += 2
     return out
 
 
 def _path(e: np.ndarray) -> np.ndarray:
     """The language of each unit on the best path; a change costs SWITCH, a draw keeps the language before."""
     n, k = e.shape
+    tops = e.argmax(1)
+    if (tops == tops[0]).all():
+        return tops
     best, back = e[0].copy(), np.zeros((n, k), int)
     for i in range(1, n):
         top = int(best.argmax())
@@ -235,22 +330,25 @@ def _path(e: np.ndarray) -> np.ndarray:
 
 def _segment(weights: np.ndarray, step: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        evidence = np.zeros((0, len(LANGUAGES)))
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 texts = part.column(1).to_pylist()
                 cut = [units(t) if t else [] for t in texts]
-                known: dict[str, int] = {}
+                if len(known) > KNOWN:
+                    known, evidence = {}, evidence[:0]
                 at = [[known.setdefault(_cleaned(t[a:z]), len(known)) for a, z, _ in us] for t, us in zip(texts, cut, strict=True)]
-                evidence = _evidence(weights, list(known)) if known else None
+                if len(known) > len(evidence):
+                    evidence = np.concatenate([evidence, _evidence(weights, list(itertools.islice(known, len(evidence), None)))])
                 rows: list[tuple] = []
                 for i, us in enumerate(cut):
                     if not us:
                         continue
                     e = evidence[at[i]]
-                    sentence = np.array([x[2] for x in us])
-                    if sentence.any():
-                        e = e * sentence[:, None]
+                    weight = np.array([x[2] for x in us])
+                    e = e * (weight / weight.max())[:, None]
                     path = _path(e)
                     first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
                     for no, (a, z) in enumerate(itertools.pairwise([*first, len(us)])):

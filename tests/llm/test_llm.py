@@ -346,3 +346,188 @@ def test_held_out_accuracy(spark, sf_dir):
             right += sum(languages.LANGUAGES[b] == lang for b in best)
             total += len(xs)
     assert right / total > 0.95
+
+
+#: Sentences unlike all of the sample.
+FREE = {
+    "en": [
+        "What a nurse does here",
+        "What a sales manager does here",
+        "What a recruiter does here",
+        "We are looking for an experienced engineer to join our team.",
+        "You will design services and lead projects.",
+        "Applicants must hold a valid driving licence.",
+        "Our office sits next to the river and is easy to reach by train.",
+        "I have been working in finance since 2015.",
+        "Responsible for quality control of incoming goods.",
+        "Travel expenses will be reimbursed within two weeks.",
+        "Fluent spoken German is an advantage but not required.",
+        "Send your resume and a short cover letter.",
+        "He was promoted twice in three years.",
+        "Strong attention to detail and good organisational skills.",
+        "The role reports directly to the chief financial officer.",
+        "Managed a budget of 2 million euros.",
+        "Do you enjoy solving difficult problems?",
+        "Part time work is possible after six months.",
+    ],
+    "de": [
+        "Wir suchen einen erfahrenen Ingenieur für unser Team.",
+        "Du entwirfst Dienste und leitest Projekte.",
+        "Ein gültiger Führerschein ist Voraussetzung.",
+        "Unser Büro liegt direkt am Fluss und ist gut mit der Bahn zu erreichen.",
+        "Seit 2015 arbeite ich im Finanzwesen.",
+        "Verantwortlich für die Qualitätskontrolle der eingehenden Waren.",
+        "Reisekosten werden innerhalb von zwei Wochen erstattet.",
+        "Fließendes Englisch ist von Vorteil, aber keine Bedingung.",
+        "Senden Sie uns Ihren Lebenslauf und ein kurzes Anschreiben.",
+        "Er wurde in drei Jahren zweimal befördert.",
+        "Sorgfalt und gute Organisation zeichnen Sie aus.",
+        "Die Stelle berichtet direkt an den Finanzvorstand.",
+        "Verwaltung eines Budgets von 2 Millionen Euro.",
+        "Lösen Sie gerne schwierige Aufgaben?",
+        "Teilzeit ist nach sechs Monaten möglich.",
+    ],
+    "fr": [
+        "Nous recherchons un ingénieur expérimenté pour rejoindre notre équipe.",
+        "Vous concevrez des services et dirigerez des projets.",
+        "Le permis de conduire est obligatoire.",
+        "Notre bureau se trouve au bord de la rivière, près de la gare.",
+        "Je travaille dans la finance depuis 2015.",
+        "Responsable du contrôle de la qualité des marchandises.",
+        "Les frais de déplacement sont remboursés sous deux semaines.",
+        "La maîtrise de l'anglais est un atout mais pas une obligation.",
+        "Envoyez votre CV et une courte lettre de motivation.",
+        "Il a été promu deux fois en trois ans.",
+        "Rigueur et sens de l'organisation sont indispensables.",
+        "Le poste est rattaché au directeur financier.",
+        "Gestion d'un budget de 2 millions d'euros.",
+        "Aimez-vous résoudre des problèmes difficiles ?",
+        "Le temps partiel est possible après six mois.",
+    ],
+    "es": [
+        "Buscamos un ingeniero con experiencia para nuestro equipo.",
+        "Diseñarás servicios y dirigirás proyectos.",
+        "Es obligatorio tener carné de conducir.",
+        "Nuestra oficina está junto al río y cerca de la estación.",
+        "Trabajo en finanzas desde el año 2015.",
+        "Responsable del control de calidad de las mercancías.",
+        "Los gastos de viaje se reembolsan en dos semanas.",
+        "El inglés fluido es una ventaja pero no un requisito.",
+        "Envíe su currículum y una carta breve.",
+        "Fue ascendido dos veces en tres años.",
+        "Atención al detalle y buena organización.",
+        "El puesto depende directamente del director financiero.",
+        "Gestión de un presupuesto de 2 millones de euros.",
+        "¿Te gusta resolver problemas difíciles?",
+        "La jornada parcial es posible después de seis meses.",
+    ],
+    "pt": [
+        "Procuramos um engenheiro experiente para a nossa equipe.",
+        "Você vai desenhar serviços e liderar projetos.",
+        "É obrigatório ter carteira de motorista.",
+        "O nosso escritório fica perto do rio e da estação.",
+        "Trabalho na área de finanças desde 2015.",
+        "Responsável pelo controle de qualidade das mercadorias.",
+        "As despesas de viagem são reembolsadas em duas semanas.",
+        "Inglês fluente é uma vantagem, mas não é exigido.",
+        "Envie o seu currículo e uma carta breve.",
+        "Foi promovido duas vezes em três anos.",
+        "Atenção aos detalhes e boa organização.",
+        "O cargo responde diretamente ao diretor financeiro.",
+        "Gestão de um orçamento de 2 milhões de euros.",
+        "Você gosta de resolver problemas difíceis?",
+        "O trabalho a tempo parcial é possível depois de seis meses.",
+    ],
+    "ru": [
+        "Мы ищем опытного инженера в нашу команду.",
+        "Вы будете проектировать сервисы.",
+        "Отправьте резюме и краткое письмо.",
+    ],
+    "zh": [
+        "我们正在寻找一位经验丰富的工程师加入团队。",
+        "你将负责设计服务并领导项目。",
+        "必须持有有效的驾驶执照。",
+        "公司位于河边，交通便利。",
+        "自2015年起从事金融工作。",
+        "负责进货的质量检查。",
+        "差旅费将在两周内报销。",
+        "英语流利者优先。",
+        "请发送简历和求职信。",
+        "三年内晋升两次。",
+        "注重细节，组织能力强。",
+        "该职位直接向财务总监汇报。",
+    ],
+    "ja": [
+        "経験豊富なエンジニアを募集しています。",
+        "サービスの設計とプロジェクトの管理を担当します。",
+        "有効な運転免許証が必要です。",
+        "東京都港区勤務。経験者優遇。",
+        "2015年から金融業界で働いています。",
+        "入荷品の品質検査を担当。",
+        "交通費は二週間以内に支給されます。",
+        "英語が話せる方は歓迎します。",
+        "履歴書と志望動機をお送りください。",
+        "土日祝日休み。",
+        "三年間で二回昇進しました。",
+        "経理部長に直接報告します。",
+    ],
+}
+
+
+@pytest.fixture(scope="module")
+def machines(spark, sf_dir):
+    return languages.fitted(languages.labelled_sample(table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents"), "text", "lang"))
+
+
+def segmented(weights, texts):
+    import pyarrow as pa
+
+    out = [[] for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([None] * len(texts), pa.string())], ["k", "t", "c"])
+    for got in languages._segment(weights)(iter([batch])):
+        for r in got.to_pylist():
+            out[r["key"]].append(r["seg_lang"])
+    return out
+
+
+def test_free_text_is_told(machines):
+    pairs = [(x, s) for x, ss in FREE.items() for s in ss]
+    best = languages._evidence(machines, [languages._cleaned(s) for _, s in pairs]).argmax(1)
+    assert sum(languages.LANGUAGES[b] == x for b, (x, _) in zip(best, pairs, strict=True)) / len(pairs) > 0.95
+
+
+def test_free_text_in_documents(machines):
+    """Documents of one to three languages in sentences that no template of the sample has."""
+    rng = random.Random(3)
+    texts, want = [], []
+    for _ in range(600):
+        langs = [rng.choice(list(FREE))] if rng.random() < 0.6 else rng.sample(list(FREE), rng.choice([2, 3]))
+        texts.append("\n".join(("" if x in ("zh", "ja") else " ").join(rng.sample(FREE[x], rng.randint(1, min(4, len(FREE[x]))))) for x in langs))
+        want.append(langs)
+    got = segmented(machines, texts)
+    single = [g == w for g, w in zip(got, want, strict=True) if len(w) == 1]
+    assert sum(single) / len(single) > 0.97
+    assert sum(g == w for g, w in zip(got, want, strict=True)) / len(want) > 0.95
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("We are looking for an experienced engineer to join our team. You will design services and lead projects.", ["en"]),
+        ("The trial period is 3 months. We offer a health check.\n我们正在寻找一位经验丰富的工程师加入团队", ["en", "zh"]),
+        ("The trial period is 3 months. We offer a health check.\nDie Stelle ist ab sofort in Vollzeit zu besetzen", ["en", "de"]),
+        ("東京都港区勤務。経験者優遇。", ["ja"]),
+        ("Notes sur l'entretien pour le poste\nWe are looking for people. They work here.", ["en"]),
+        ("Was wir bieten:\nThe trial period is 3 months.", ["en"]),
+        ("软件工程师 Java", ["zh"]),
+    ],
+)
+def test_lines_without_a_closing_mark(machines, text, want):
+    assert segmented(machines, [text]) == [want]
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(languages, "SAMPLE_DOCS", 60)
+    rows = corpus() + [(10_000 + i, SAID["en"][0] + " copy", "fr") for i in range(3000)]
+    sample = languages.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    assert all(sample[x] for x in ("en", "de", "fr", "es", "pt", "ja", "zh"))
