@@ -1,8 +1,9 @@
 """Loading of delimited lines that may break the format (problem 3).
 
-Blocks of lines go through a columnar path (one syntax match, one CSV parse and vectorised value
-checks over the whole block). A block that fails anywhere is halved again and again, down to
-single lines; a single line that fails is scanned strictly to name the reason.
+Blocks of lines go through a columnar path: one syntax match, one bulk CSV parse and vectorised value
+checks, which each tell their failing lines apart. A block that the bulk parse refuses is halved
+again and again until the record at fault stands alone; every isolated line, and no other, is then
+scanned strictly to name the reason.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ COLUMNS = [
 NUMBERS = ["city", "min_salary", "max_salary", "min_years"]
 DATES = ["start_date", "end_date"]
 TITLES = ["jd_title", "jd_sub_type"]
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 4096, 1 << 28
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t\r\n]*)'
 #: A whole line in the columnar path: no line break outside quotes, so lines can be joined.
@@ -37,30 +38,29 @@ _OUT = pa.schema(
 )
 
 
-def _real_days(values: pa.Array) -> bool:
-    """All non-null values are real days as yyyymmdd."""
-    values = values.drop_null()
-    if not len(values):
-        return True
-    if not pc.all(pc.match_substring_regex(values, "^[0-9]{8}$")).as_py():
-        return False
-    n = values.cast(pa.int64()).to_numpy(zero_copy_only=False)
+def _matches(values: pa.Array, pattern: str) -> pa.Array:
+    """Where a value is null or matches."""
+    return pc.fill_null(pc.match_substring_regex(values, pattern), True)
+
+
+def _real_days(values: pa.Array) -> pa.Array:
+    """Where a value is null or a real day as yyyymmdd."""
+    shaped = _matches(values, "^[0-9]{8}$")
+    n = pc.fill_null(pc.if_else(shaped, values, "19700101"), "19700101").cast(pa.int64()).to_numpy()
     y, m, d = n // 10000, n // 100 % 100, n % 100
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
     last = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 0, 12)]
     last = last + (leap & (m == 2))
-    return bool(((y > 0) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= last)).all())
+    return pc.and_(shaped, pa.array((y > 0) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= last)))
 
 
-def _columnar(text: pa.Array) -> list[pa.Array] | None:
-    """The columns of a block in which every line is valid, else None."""
-    if not pc.all(pc.match_substring_regex(text, _LINE)).as_py():
-        return None
-    data = "\n".join(text.to_pylist()).encode()
+def _parsed(text: pa.Array) -> pa.Table | None:
+    """A block of lines of right syntax, bulk-parsed; None if the parse fails or gives another number of rows."""
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text), "\n")[0].as_buffer()
     try:
         got = pv.read_csv(
             pa.BufferReader(data),
-            pv.ReadOptions(column_names=COLUMNS, use_threads=False, block_size=len(data) + 1),
+            pv.ReadOptions(column_names=COLUMNS, use_threads=False, block_size=data.size + 1),
             pv.ParseOptions(delimiter="\t", quote_char='"', double_quote=True, newlines_in_values=True),
             pv.ConvertOptions(
                 column_types=dict.fromkeys(COLUMNS, pa.string()), null_values=["", "\\N"],
@@ -69,25 +69,21 @@ def _columnar(text: pa.Array) -> list[pa.Array] | None:
         )
     except pa.ArrowInvalid:
         return None
-    if got.num_rows != len(text):
-        return None
-    cols = {c: got[c].combine_chunks() for c in COLUMNS}
-    ids = cols["jd_no"]
-    if ids.null_count or not pc.all(pc.match_substring_regex(ids, "^[0-9a-f]{32}$")).as_py():
-        return None
+    return got.combine_chunks() if got.num_rows == len(text) else None
+
+
+def _valid(got: pa.Table) -> pa.Array:
+    """Where all values of a parsed line are valid."""
+    col = lambda c: got[c].chunk(0) if got[c].num_chunks else pa.array([], pa.string())
+    ok = pc.and_(pc.is_valid(col("jd_no")), _matches(col("jd_no"), "^[0-9a-f]{32}$"))
     for c in TITLES:
-        v = cols[c]
-        if v.null_count or pc.any(pc.equal(pc.utf8_trim_whitespace(v), "")).as_py():
-            return None
-        if pc.any(pc.match_substring_regex(v, _BAD_CHARS)).as_py():
-            return None
+        said = pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(col(c)), ""), False)
+        ok = pc.and_(ok, pc.and_(said, pc.invert(pc.fill_null(pc.match_substring_regex(col(c), _BAD_CHARS), False))))
     for c in NUMBERS:
-        v = cols[c].drop_null()
-        if len(v) and not pc.all(pc.match_substring_regex(v, "^-?[0-9]+$")).as_py():
-            return None
-    if not all(_real_days(cols[c]) for c in DATES):
-        return None
-    return [cols[c] for c in COLUMNS]
+        ok = pc.and_(ok, _matches(col(c), "^-?[0-9]+$"))
+    for c in DATES:
+        ok = pc.and_(ok, _real_days(col(c)))
+    return ok
 
 
 _STRICT_FIELD = re.compile(r'"((?:[^"]|"")*)"(?=\t|\Z)|([^"\t]*)(?=\t|\Z)')
@@ -140,24 +136,37 @@ def _scanned(line: str) -> tuple[list[str | None], str | None]:
     return ([], "invalid_value") if bad else ([row[c] for c in COLUMNS], None)
 
 
+def _diagnosed(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    rows = [_scanned(t) for t in text.to_pylist()]
+    cols = zip(*[fields or [None] * len(COLUMNS) for fields, _ in rows], strict=True) if rows else [[]] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays(
+        [keys, *(pa.array(c, pa.string()) for c in cols), pa.array([r for _, r in rows], pa.string())], schema=_OUT
+    )
+
+
 def _solve(keys: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
-    todo = [(0, len(text))]
+    """The lines of a block: the valid ones of every bulk parse, then what masks and bisection isolated."""
+    shaped = pc.match_substring_regex(text, _LINE)
+    apart = [pc.indices_nonzero(pc.invert(shaped))]
+    todo = [pc.indices_nonzero(shaped)]
     while todo:
-        lo, hi = todo.pop()
-        cols = _columnar(text.slice(lo, hi - lo))
-        if cols is not None:
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(lo, hi - lo), *cols, pa.nulls(hi - lo, pa.string())], schema=_OUT
-            )
-        elif hi - lo > 1:
-            mid = (lo + hi) // 2
-            todo += [(mid, hi), (lo, mid)]
-        else:
-            found, reason = _scanned(text[lo].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(lo, 1), *(pa.array([v], pa.string()) for v in found or [None] * len(COLUMNS)),
-                 pa.array([reason], pa.string())], schema=_OUT,
-            )
+        at = todo.pop()
+        if not len(at):
+            continue
+        got = _parsed(text.take(at))
+        if got is None:
+            if len(at) == 1:
+                apart.append(at)
+            else:
+                todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+            continue
+        ok = _valid(got)
+        apart.append(at.filter(pc.invert(ok)))
+        for out in got.filter(ok).to_batches():
+            yield pa.RecordBatch.from_arrays([keys.take(at.filter(ok)), *out.columns, pa.nulls(out.num_rows, pa.string())], schema=_OUT)
+    rest = pa.concat_arrays(apart)
+    if len(rest):
+        yield _diagnosed(keys.take(rest), text.take(rest))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +174,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).cast(pa.int64())
         text = pc.fill_null(batch.column(1).cast(pa.string()), "")
         text = pc.replace_substring_regex(text, "\r$", "")
-        for lo in range(0, len(text), BLOCK):
+        lo = 0
+        while lo < len(text):
+            # A block is joined into one text, which must stay well below 2 GB.
             n = min(BLOCK, len(text) - lo)
-            for out in _solve(keys.slice(lo, n), text.slice(lo, n)):
-                yield out
+            while n > 1 and pc.sum(pc.binary_length(text.slice(lo, n))).as_py() > BLOCK_BYTES:
+                n //= 2
+            yield from _solve(keys.slice(lo, n), text.slice(lo, n))
+            lo += n
 
 
 def parse_lines(lines: DataFrame, key: str = "line_no", text: str = "raw_text") -> DataFrame:
@@ -193,8 +206,10 @@ def _typed(c: str) -> Column:
 
 
 def loadable(parsed: DataFrame) -> DataFrame:
-    """The valid lines with typed columns; a number beyond 64 bits becomes null."""
-    return parsed.where(F.col("reason").isNull()).select("line_no", *map(_typed, COLUMNS))
+    """The valid lines with typed columns. ``beyond_64_bits`` maps the columns whose number doesn't fit, and is null there, to its digits."""
+    over = [F.struct(F.lit(c).alias("key"), F.when(F.expr(f"try_cast({c} as bigint)").isNull(), F.col(c)).alias("value")) for c in NUMBERS]
+    kept = F.map_from_entries(F.filter(F.array(*over), lambda x: x["value"].isNotNull()))
+    return parsed.where(F.col("reason").isNull()).select("line_no", *map(_typed, COLUMNS), kept.alias("beyond_64_bits"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -89,3 +89,34 @@ def test_frames(spark):
     row = rejects.loadable(parsed).first()
     assert (row["city"], row["max_salary"], str(row["start_date"]), row["end_date"]) == (530, None, "2019-02-28", None)
     assert rejects.parse_lines(df.limit(0)).count() == 0
+    assert row["beyond_64_bits"] == {}
+
+
+def test_numbers_beyond_64_bits_are_kept(spark):
+    df = spark.createDataFrame([(1, line(city="9" * 40, min_salary="-" + "1" * 25))], "line_no long, raw_text string")
+    row = rejects.loadable(rejects.parse_lines(df)).first()
+    assert (row["city"], row["min_salary"]) == (None, None) and row["beyond_64_bits"] == {"city": "9" * 40, "min_salary": "-" + "1" * 25}
+
+
+def test_only_isolated_lines_are_scanned(monkeypatch):
+    """One bad line in thirteen, as in the tables: all others come from the bulk parse."""
+    scanned = []
+    plain = rejects._scanned
+    monkeypatch.setattr(rejects, "_scanned", lambda t: scanned.append(t) or plain(t))
+    bad = [t for t, r in CASES if r]
+    texts = [bad[i // 13 % len(bad)] if i % 13 == 0 else line(jd_title=f"title {i}") for i in range(5000)]
+    got = solved(texts)
+    assert len(got) == 5000 and len(scanned) == sum(r["reason"] is not None for r in got.values())
+
+
+def test_refused_blocks_are_bisected(monkeypatch):
+    plain, calls = rejects._parsed, []
+
+    def refusing(text):
+        calls.append(len(text))
+        return None if any(t.endswith("refuse") for t in text.to_pylist()) else plain(text)
+
+    monkeypatch.setattr(rejects, "_parsed", refusing)
+    texts = [line(job_description="refuse" if i in (5, 777) else "fine") for i in range(1000)]
+    got = solved(texts)
+    assert len(got) == 1000 and all(r["reason"] is None for r in got.values()) and calls.count(1) >= 2 and len(calls) < 60
