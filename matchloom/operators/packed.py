@@ -169,6 +169,18 @@ def split_values(c: Column, seps: list[str] | None) -> Column:
     return F.coalesce(F.get(F.transform(bare, pieces), F.lit(0)), empty)
 
 
+def packed_items(df: DataFrame, key: str, fields: list[str], seps: dict[str, list[str] | None] | None = None) -> DataFrame:
+    """``__key``, ``field_name``, ``items``: the array of values of each field, one row per field and different row of the named columns.
+
+    Rows without a key are left out. A text of any length is split whole.
+    """
+    names = {f: f"__f{i}" for i, f in enumerate(fields)}
+    own = df.select(F.col(key).alias("__key"), *[F.col(f).cast("string").alias(n) for f, n in names.items()]).where("__key is not null")
+    seps = infer_separators(own.select(*[F.col(n).alias(f) for f, n in names.items()]), fields) if seps is None else seps
+    cells = [F.struct(F.lit(f).alias("field_name"), split_values(F.col(n), seps[f]).alias("items")) for f, n in names.items()]
+    return own.dropDuplicates().select("__key", F.explode(F.array(*cells)).alias("x")).select("__key", "x.field_name", "x.items")
+
+
 def explode_packed(df: DataFrame, key: str, fields: list[str], seps: dict[str, list[str] | None] | None = None) -> DataFrame:
     """``key``, ``field_name``, ``pos`` (from 1), ``item``: one row per value of each field.
 
@@ -176,15 +188,5 @@ def explode_packed(df: DataFrame, key: str, fields: list[str], seps: dict[str, l
     Null, blank and "nothing" fields, and an empty table, give no rows; rows without a key are
     left out. A text of any length is split whole. Only named columns are read.
     """
-    names = {f: f"__f{i}" for i, f in enumerate(fields)}
-    own = df.select(F.col(key).alias("__key"), *[F.col(f).cast("string").alias(n) for f, n in names.items()]).where("__key is not null")
-    seps = infer_separators(own.select(*[F.col(n).alias(f) for f, n in names.items()]), fields) if seps is None else seps
-    own = own.dropDuplicates()
-    long = own.select(
-        "__key",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), split_values(F.col(n), seps[f]).alias("items")) for f, n in names.items()])).alias("x"),
-    )
-    long = long.select("__key", "x.field_name", F.posexplode_outer("x.items").alias("p", "item")).where("p is not null")
-    return long.select(
-        F.col("__key").alias(key), "field_name", (F.col("p") + 1).cast("bigint").alias("pos"), "item"
-    )
+    long = packed_items(df, key, fields, seps).select("__key", "field_name", F.posexplode_outer("items").alias("p", "item")).where("p is not null")
+    return long.select(F.col("__key").alias(key), "field_name", (F.col("p") + 1).cast("bigint").alias("pos"), "item")
