@@ -44,29 +44,26 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forms(spark, sf_dir).distinct()
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _term_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rec_id``, ``field_name``, ``items``: the values of users and the title words of jobs in consistent form."""
     users = table(spark, sf_dir, "table1_user")
-    seps = packed.infer_separators(users, ["experience"])
-    values = packed.explode_packed(users, "user_id", ["experience"], seps)
-    jobs = table(spark, sf_dir, "table2_jd").select("jd_no", "jd_title").distinct()
+    values = packed.packed_items(users, "user_id", ["experience"])
+    of_users = values.select(F.col("__key").alias("rec_id"), "field_name", normalize.consistent_forms(F.col("items")).alias("items"))
+    titles = table(spark, sf_dir, "table2_jd").select("jd_no", "jd_title").dropDuplicates()
     words = F.split(normalize.consistent_form(F.col("jd_title")), r"\s+")
-    of_users = values.select(
-        F.col("user_id").alias("rec_id"), "field_name", F.lower(F.trim(normalize.consistent_form(F.col("item")))).alias("term")
-    )
-    of_jobs = jobs.select(F.col("jd_no").alias("rec_id"), F.lit("jd_title").alias("field_name"), F.explode(words).alias("w"))
-    return of_users.union(of_jobs.select("rec_id", "field_name", F.lower("w").alias("term")))
+    return of_users.union(titles.select(F.col("jd_no").alias("rec_id"), F.lit("jd_title").alias("field_name"), words.alias("items")))
 
 
-def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.distinctive_terms(distinctive.term_counts(_terms(spark, sf_dir)))
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.records(_term_lists(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.standing_out(_distinctive(spark, sf_dir))
+    return distinctive.standing_out(distinctive.distinctive_terms(_records(spark, sf_dir), distinctive.LEADERS))
 
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinctive(spark, sf_dir)
+    return distinctive.distinctive_terms(_records(spark, sf_dir))
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:

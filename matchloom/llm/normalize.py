@@ -112,6 +112,24 @@ def consistent_form(c: Column) -> Column:
     return F.when(doubt, _consistent(F.when(doubt, c))).otherwise(c)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _consistent_each(v: pd.Series) -> pd.Series:
+    seen: dict[str, str | None] = {None: None}
+    out = []
+    for xs in v:
+        for x in () if xs is None else xs:
+            if x not in seen:
+                seen[x] = consistent(x)
+        out.append(None if xs is None else [seen[x] for x in xs])
+    return pd.Series(out, dtype=object)
+
+
+def consistent_forms(c: Column) -> Column:
+    """As ``consistent_form``, for a column of arrays of texts."""
+    doubt = F.exists(c, lambda x: x.rlike(_QUICK))
+    return F.when(doubt, _consistent_each(F.when(doubt, c))).otherwise(c)
+
+
 def forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``rec_id``, ``field_name``, ``value``, ``form``: each different stored non-null value of each record.
 

@@ -133,11 +133,11 @@ def test_form_columns(spark, sf_dir):
 
 
 def test_cases_against_brute_force(spark, sf_dir):
-    terms = catalog._terms(spark, sf_dir)
     docs = defaultdict(Counter)
-    for r in terms.collect():
-        if r["rec_id"] and r["term"]:
-            docs[r["field_name"], r["rec_id"]][r["term"]] += 1
+    for r in catalog._term_lists(spark, sf_dir).collect():
+        for t in r["items"] or ():
+            if r["rec_id"] and t.strip():
+                docs[r["field_name"], r["rec_id"]][t.strip().lower()] += 1
     n, d = Counter(f for f, _ in docs), Counter((f, t) for (f, _), c in docs.items() for t in c)
     want = set()
     for (f, k), c in docs.items():
@@ -147,16 +147,70 @@ def test_cases_against_brute_force(spark, sf_dir):
     assert {tuple(r) for r in catalog.p4_found(spark, sf_dir).collect()} == want
 
 
+def recs_of(spark, rows):
+    """Records from rows of (rec_id, field_name, term, c)."""
+    return distinctive.records(spark.createDataFrame([(r, f, [t] * c) for r, f, t, c in rows], "rec_id string, field_name string, items array<string>"))
+
+
 def test_probabilities(spark):
     rows = [(f"r{i}", "f", "common", 1) for i in range(50)] + [("r0", "f", "rare", 1), ("r1", "f", "own", 3)]
-    got = {(r["rec_id"], r["term"]): r for r in distinctive.distinctive_terms(spark.createDataFrame(rows, "rec_id string, field_name string, term string, c long")).collect()}
+    got = {(r["rec_id"], r["term"]): r for r in distinctive.distinctive_terms(recs_of(spark, rows)).collect()}
     assert got["r0", "rare"]["place"] == 1 and got["r1", "own"]["place"] == 1 and got["r5", "common"]["probability"] == pytest.approx(1)
     assert got["r0", "rare"]["probability"] + got["r0", "common"]["probability"] == pytest.approx(1)
     assert (got["r0", "rare"]["d"], got["r0", "common"]["d"], got["r0", "rare"]["n"]) == (1, 50, 50)
-    empty = distinctive.term_counts(spark.createDataFrame([(None, "f", "x"), ("r", "f", None), ("r", "f", "")], "rec_id string, field_name string, term string"))
+    assert got["r5", "common"]["others"] is None and got["r0", "common"]["others"] == got["r0", "rare"]["score"]
+    empty = distinctive.records(spark.createDataFrame([(None, "f", ["x"]), ("r", "f", [None]), ("r", "f", [""]), ("r", "f", None)], "rec_id string, field_name string, items array<string>"))
     assert distinctive.standing_out(distinctive.distinctive_terms(empty)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 9), st.floats(1e-6, 0.3)), min_size=1, max_size=8), min_size=1, max_size=6))
+def test_rounds_approach_the_fixed_point(model):
+    c = np.array([x for r in model for x, _ in r], float)
+    back = np.array([q for r in model for _, q in r])
+    size = np.array([len(r) for r in model])
+    start = np.cumsum(size) - size
+    got = distinctive.converged(c, back, start)
+    want = distinctive._fixed_point(c, back, np.repeat(np.arange(len(size)), size))
+    assert np.abs(np.add.reduceat(got, start) - 1).max() < 1e-6 and np.abs(np.add.reduceat(want, start) - 1).max() < 1e-9
+    assert np.abs(got - want).max() < 1e-2
+    alone = [distinctive.converged(c[a : a + n], back[a : a + n], np.array([0])) for a, n in zip(start, size, strict=True)]
+    assert np.array_equal(np.concatenate(alone), got)
+
+
+def test_records_across_batches():
+    import pyarrow as pa
+
+    rows = [(f"r{i}", "f", f"t{j}", 1 + j % 2, 1, 2) for i in range(7) for j in range(1 + i * 3 % 5)]
+    names = ["rec_id", "field_name", "term", "c", "d", "cf"]
+
+    def run(step):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + step]]) for a in range(0, len(rows), step)]
+        return [r for b in distinctive._em({"f": 40}, {"f": 7}, None)(iter(batches)) for r in b.to_pylist()]
+
+    assert run(1) == run(2) == run(5) == run(100) and len(run(3)) == len(rows)
+
+
+def test_large_term_tables_are_joined_by_shuffle(spark, monkeypatch):
+    rng = random.Random(8)
+    recs = recs_of(spark, [(f"r{i}", rng.choice("fg"), f"t{rng.randrange(60)}", rng.randint(1, 3)) for i in range(80) for _ in range(6)])
+    show = lambda: sorted((r["rec_id"], r["field_name"], r["place"], r["term"], r["c"], r["d"], round(r["probability"], 9)) for r in distinctive.distinctive_terms(recs).collect())
+    small = show()
+    monkeypatch.setattr(distinctive, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(distinctive, "HEAVY", 30)
+    assert show() == small
+
+
+def test_the_model_decides_the_leaders(spark, sf_dir, monkeypatch):
+    """Without expectation-maximisation terms rank by their counts, and cases are missed."""
+    recs = catalog._records(spark, sf_dir)
+    found = {tuple(r) for r in distinctive.standing_out(distinctive.distinctive_terms(recs), leaders=1).collect()}
+    ranked = distinctive.distinctive_terms(recs).toPandas()
+    flat = ranked.sort_values(["field_name", "rec_id", "c", "term"], ascending=[True, True, False, True]).groupby(["field_name", "rec_id"]).head(1)
+    plain = flat[(flat.score > flat.others) & (flat.score >= 2 * flat.others)]
+    assert found and found > set(zip(plain.rec_id, plain.field_name, plain.term, strict=True))
+
+
 # --- problem 5
 
 
