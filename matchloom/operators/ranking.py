@@ -45,6 +45,15 @@ def positions(df: DataFrame, group: list[str], order: list[Column], out: str) ->
     return numbered.join(shift, on).select(*cols, (F.col("__own") + F.col("__shift")).cast("bigint").alias(out))
 
 
+def leaders(df: DataFrame, group: list[str], order: list[Column], n: int, out: str) -> DataFrame:
+    """The first ``n`` rows of each group in a total order, with their place (from 1).
+
+    Every task keeps at most ``n`` rows of a group before anything is shuffled, so a hot group
+    reaches one task as ``n`` rows a task only. Null is a group of its own.
+    """
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")).where(F.col(out) <= n)
+
+
 def average_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with the percentile of ``value`` among all non-null values, ties sharing their mean rank. Null stays null."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
