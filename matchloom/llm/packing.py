@@ -245,6 +245,7 @@ def fill_containers(sizes: DataFrame, key: str, size: str, budgets: DataFrame, n
     kind = dict(own.dtypes)["key"]
     if not caps:
         return spark.createDataFrame([], f"{name} string, container_id bigint, {key} {kind}, piece_no bigint, start_token bigint, n_tokens bigint")
+    own = checkpointed(own)  # The range sort reads its input twice; sizes may be dear.
     cap = F.array(*[F.struct(F.lit(i).cast("bigint").alias("budget"), F.lit(c).cast("bigint").alias("cap")) for i, (_, c) in enumerate(caps)])
     items = own.select("key", "n", F.explode(cap).alias("c")).select(
         "key", "n", "c.budget", "c.cap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / F.col("c.cap")) - 1, F.lit(0)))).alias("piece_no")
