@@ -84,8 +84,20 @@ def keywords(c: Column) -> Column:
 
 
 def ladder(a: Column, b: Column) -> Column:
-    """Likeness of two names: 1 if equal, 0.7 if one holds the other, else the share of common words."""
+    """Likeness of two names: 1 if equal, 0.7 if one holds the other, else the common words as a share of all."""
     x, y = F.lower(a), F.lower(b)
     p, q = F.array_distinct(F.split(x, r"\s+")), F.array_distinct(F.split(y, r"\s+"))
     common = F.size(F.array_intersect(p, q)) / F.greatest(F.size(F.array_union(p, q)), F.lit(1))
     return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).otherwise(common)
+
+
+def word_share(a: Column, b: Column) -> Column:
+    """Common words of two texts as a share of the larger set of words; 0 where either has none or is missing."""
+    p, q = (F.array_remove(F.array_distinct(F.split(F.lower(x), r"\s+")), "") for x in (a, b))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(p, q)), F.greatest(F.size(p), F.size(q))), F.lit(0.0))
+
+
+def name_likeness(a: Column, b: Column) -> Column:
+    """As ``ladder``, with the common words as a share of the larger set of words, which is the surveyed rule."""
+    x, y = F.lower(a), F.lower(b)
+    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).otherwise(word_share(a, b))

@@ -188,6 +188,7 @@ def _case(c: str, codes: dict) -> str:
     return f"case {c} " + " ".join(f"when {k!r} then {v}" for k, v in codes.items()) + " end"
 
 
+_CODES = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
