@@ -68,6 +68,18 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1)
 
 
+def segmented(c: Column, stop: list[str] = ()) -> Column:
+    """Lower-case words of more than one character in order, repeats kept; a run of more than two ideographs gives its overlapping pairs.
+
+    Words of ``stop`` are left out. Pairs stand in for a dictionary of Chinese words, of which most have two
+    ideographs, and depend on no model.
+    """
+    runs = F.split(F.regexp_replace(F.lower(c), r"(\p{IsHan}+)", " $1 "), r"[^\p{L}\p{N}]+")
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    words_ = F.flatten(F.transform(runs, lambda r: F.when((F.length(r) > 2) & r.rlike(r"^\p{IsHan}"), pairs(r)).otherwise(F.array(r))))
+    return F.filter(words_, lambda x: (F.length(x) > 1) & ~x.isin(*stop) if stop else F.length(x) > 1)
+
+
 def word_pairs(w: Column) -> Column:
     """Neighbouring words of an array, joined by a blank."""
     n = F.size(w) - 1

@@ -274,10 +274,12 @@ def text_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select e.user_id, e.jd_no, case when u.experience is null or j.jd_sub_type is null then 0 else
 cast(len(list_intersect(list_distinct(list_concat(coalesce({_TOK.format('j.jd_title')}, []), {_TOK.format('j.jd_sub_type')})), {_TOK.format('u.experience')})) as bigint) end as hits from {_EXP}""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each person and each position are cut once, before pairs are joined."""
     wanted = F.array_union(F.coalesce(P.tokens(F.col("jd_title")), F.array().cast("array<string>")), P.tokens(F.col("jd_sub_type")))
-    hits = F.size(F.array_intersect(wanted, P.tokens(F.col("experience"))))
-    both = F.col("experience").isNotNull() & F.col("jd_sub_type").isNotNull()
-    return _exposed(spark, sf_dir).select("user_id", "jd_no", F.when(both, hits).otherwise(0).cast("bigint").alias("hits"))
+    j = jobs(spark, sf_dir).select("jd_no", F.when(F.col("jd_sub_type").isNotNull(), wanted).alias("wanted"))
+    u = users(spark, sf_dir).select("user_id", P.tokens(F.col("experience")).alias("held"))
+    x = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct().join(u, "user_id").join(j, "jd_no")
+    return x.select("user_id", "jd_no", F.when(F.col("held").isNotNull() & F.col("wanted").isNotNull(), F.size(F.array_intersect("wanted", "held"))).otherwise(0).cast("bigint").alias("hits"))
 
 
 @query(f"""with t as (select e.user_id, e.jd_no, string_split(u.experience, '|') as segs, list_filter({_TOK.format("concat_ws(' ', j.jd_title, j.jd_sub_type)")}, lambda x: not regexp_matches(x, '[0-9]')) as kw from {_EXP} where u.experience is not null),
@@ -286,22 +288,30 @@ w as (select *, list_transform(segs, lambda s, i: pow(0.8e0, i - 1)) as ws, list
 select user_id, jd_no, round(list_sum(list_transform(q, lambda x, i: x * ws[i])) / list_sum(ws), 6) as quality from w""")
 def experience_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only pairs that have an experience, as its SQL says; ``experience_quality_all`` has every pair."""
-    kw = P.keywords(F.concat_ws(" ", "jd_title", "jd_sub_type"))
-    x = _exposed(spark, sf_dir).where("experience is not null").select("user_id", "jd_no", F.split("experience", r"\|").alias("segs"), kw.alias("kw"))
+    e = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
+    x = e.join(_segments(users(spark, sf_dir)).where("segs is not null"), "user_id").join(_asked(spark, sf_dir), "jd_no")
     return x.select("user_id", "jd_no", _quality().alias("quality"))
 
 
+def _segments(u: DataFrame) -> DataFrame:
+    """``user_id``, ``segs``: the text, words and weight of each part of an experience, cut once a person."""
+    parts = F.transform(F.split("experience", r"\|"), lambda s, i: F.struct(s.alias("s"), P.tokens(s).alias("t"), F.pow(F.lit(0.8), i).alias("w")))
+    return u.select("user_id", parts.alias("segs"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).select("jd_no", "jd_title", P.keywords(F.concat_ws(" ", "jd_title", "jd_sub_type")).alias("kw"))
+
+
 def _quality() -> Column:
-    def one(s):
-        t = P.tokens(s)
-        held = F.exists("kw", lambda k: s.contains(k))
-        raw = F.size(F.array_intersect(t, F.col("kw"))) / F.sqrt(F.size(t).cast("double")) * F.when(held, 1.2).otherwise(1.0)
-        return F.when(F.size(t) == 0, 0.0).otherwise(F.least(F.lit(1.0), raw))
+    def one(x):
+        held = F.exists("kw", lambda k: x["s"].contains(k))
+        raw = F.size(F.array_intersect(x["t"], F.col("kw"))) / F.sqrt(F.size(x["t"]).cast("double")) * F.when(held, 1.2).otherwise(1.0)
+        return F.when(F.size(x["t"]) == 0, 0.0).otherwise(F.least(F.lit(1.0), raw))
 
-    w = F.transform("segs", lambda s, i: F.pow(F.lit(0.8), i))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    q = F.transform("segs", lambda s, i: one(s) * F.pow(F.lit(0.8), i))
-    return F.round(total(q) / total(w), 6)
+    q = F.transform("segs", lambda x: one(x) * x["w"])
+    return F.round(total(q) / total(F.transform("segs", lambda x: x["w"])), 6)
 
 
 @query(f"""with t as (select e.user_id, e.jd_no, case when j.jd_title is not null then string_split(u.experience, '|') end as segs, list_filter({_TOK.format("concat_ws(' ', j.jd_title, j.jd_sub_type)")}, lambda x: not regexp_matches(x, '[0-9]')) as kw from {_EXP_ALL}),
@@ -311,18 +321,18 @@ select user_id, jd_no, coalesce(round(list_sum(list_transform(q, lambda x, i: x
 def experience_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exposed pair; 0 where the experience or the title is missing."""
     e = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
-    u = users(spark, sf_dir).select("user_id", F.split("experience", r"\|").alias("segs"))
-    j = jobs(spark, sf_dir).select("jd_no", "jd_title", P.keywords(F.concat_ws(" ", "jd_title", "jd_sub_type")).alias("kw"))
     both = F.col("segs").isNotNull() & F.col("jd_title").isNotNull()
-    return e.join(u, "user_id", "left").join(j, "jd_no", "left").select("user_id", "jd_no", F.when(both, _quality()).otherwise(0.0).alias("quality"))
+    return e.join(_segments(users(spark, sf_dir)), "user_id", "left").join(_asked(spark, sf_dir), "jd_no", "left").select("user_id", "jd_no", F.when(both, _quality()).otherwise(0.0).alias("quality"))
 
 
 @query(f"select a.user_id, a.jd_no, a.t as jd_title, b.name from (select user_id, jd_no, lower(jd_title) as t from {_JOBS} j join (select distinct user_id, jd_no from user_exposure) e using (jd_no)) a join (select distinct ref_name as name from ref_item where ref_kind = 'job_type') b on contains(a.t, lower(b.name))")
 def title_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different title is compared with the names once; ref_item is a fixed table."""
     names = table(spark, sf_dir, "ref_item").where("ref_kind = 'job_type'").select(F.col("ref_name").alias("name")).distinct()
     e = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
-    t = e.join(jobs(spark, sf_dir).select("jd_no", F.lower("jd_title").alias("jd_title")), "jd_no")
-    return t.join(F.broadcast(names), F.col("jd_title").contains(F.lower("name")))  # ref_item is a fixed table
+    titled = jobs(spark, sf_dir).select("jd_no", F.lower("jd_title").alias("jd_title"))
+    held = titled.select("jd_title").distinct().join(F.broadcast(names), F.col("jd_title").contains(F.lower("name")))
+    return e.join(titled.join(held, "jd_title"), "jd_no").select("jd_no", "user_id", "jd_title", "name")
 
 
 @query("""with c as (select label, list(embedding) as l, count(*) as n from embeddings group by 1),
