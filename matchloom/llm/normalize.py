@@ -1,12 +1,16 @@
 """One form for text that looks the same (problem 2).
 
-A JVM-side quick check finds values that can hold anything unstable; only those reach Python. There
-each unstable run is cut out with the character before it (its composition boundary), brought to
-its form alone, and spliced back into the unchanged text.
+What is unstable follows from properties of the Unicode character data: characters that the
+normalization quick check refuses or leaves open (combining marks, parts of syllables), blanks,
+compatibility forms that differ in width, font or ligature only, and what is never seen. A JVM-side
+quick check finds values that can hold anything unstable; only those reach Python. There each
+unstable run is cut out with the character before it (its composition boundary), brought to its form
+alone, and spliced back into the unchanged text. Letters of words that mix scripts come last.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -26,11 +30,23 @@ RADICALS = (
 # Fixed values (Unicode confusables): Cyrillic and Greek letters before the Latin letters they look like.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW аa сc ԁd еe һh іi јj оo рp ԛq ѕs ԝw хx уy ѵv ӏl"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa νv οo ρp ϲc ϳj ϹC ͿJ ɑa ɡg ıi"
+ARMENIAN = "հh ոn ռn սu օo ցg զq ՍU ՕO ՏS ԼL"
+CHEROKEE = "ᎠD ᎡR ᎢT ᎥI ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏢP ᏙV ᏚS ᏞL ᏟC ᏦK ᏴB"
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+# Katakana before the ideographs they look like, and the ideographs that one of them may follow as a counter.
+KANA = "エ工 カ力 タ夕 ト卜 ニ二 ハ八 ロ口 ー一"
+COUNTED = "一二三四五六七八九十百千数何半"
 RADICAL_OF = {x[0]: x[1] for x in RADICALS.split()}
-LATIN_OF = {x[0]: x[1] for x in (CYRILLIC + " " + GREEK).split()}
+#: Small capitals are letters of their own, named after the letter they show.
+SMALL_CAPITALS = {c: n[-1].lower() for c in map(chr, range(0x250, 0x2000)) if (n := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(n) == 28}
+LATIN_OF = {x[0]: x[1] for x in " ".join((CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU)).split()} | SMALL_CAPITALS
+IDEOGRAPH_OF = {x[0]: x[1] for x in KANA.split()}
+KANA_OF = {x[1]: x[0] for x in KANA.split()}
 #: Back to Cyrillic for words of that script.
 CYRILLIC_OF = {x[1]: x[0] for x in CYRILLIC.split() if x[0] not in "ԌԚԜԁһԛѕԝѵӏЅІЈіј"}
-ALIKE_LATIN_ONLY = "ɑɡı"
+#: Letters of Latin script that only look like the usual ones; the last only in words that mix scripts.
+ALIKE_LATIN = "ɑɡ" + "".join(SMALL_CAPITALS)
+ALIKE_LATIN_ONLY = ALIKE_LATIN + "ı"
 
 #: Characters that are never seen, tab and line ends apart.
 INVISIBLE = (
@@ -38,43 +54,94 @@ INVISIBLE = (
     "\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb"
     "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
-_BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-#: Compatibility characters that look like their plain forms: wide and narrow forms, ligatures,
-#: radicals, compatibility ideographs, Roman numerals, styled mathematical letters and the like.
-_COMPAT = (
-    "\u01c4-\u01cc\u01f1-\u01f3\u0132\u0133\u0149\u017f\u0587\u2102\u210a-\u2113\u2115\u2119-\u211d\u2124\u2126\u2128\u212a-\u212d\u212f-\u2139"
-    "\u2160-\u217f\u2e80-\u2fd5\ufe50-\ufe6b\uf900-\ufaff\ufb00-\ufb06\uff01-\uffee\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f"
-)
-#: Marks and Hangul parts that may join the character before them.
-_JOINING = r"\p{M}\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ff"
-#: Compositions that canonical normalization takes apart or replaces, besides the above.
-_SINGLES = "\u0340-\u0344\u0374\u037e\u0387\u1f71-\u1fff\u2000\u2001\u2329\u232a\u0958-\u095f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u2adc\ufb1d-\ufb4e"
-_UNSTABLE = f"{INVISIBLE}{_BLANKS}{_COMPAT}{_JOINING}{_SINGLES}"
-_SEGMENT = regex.compile(rf"(?:[^{_UNSTABLE}\s])?[{_UNSTABLE}]+")
-_GONE = regex.compile(f"[{INVISIBLE}]+")
-_BLANK = regex.compile(f"[{_BLANKS}]")
-_FOLD = regex.compile(f"[{_COMPAT}]")
+#: Kinds of compatibility decomposition that leave the look of a character.
+_SAME_LOOK = ("wide", "narrow", "font", "small")
+_SAME_NAMES = ("LATIN ", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL", "CJK RADICAL", "KANGXI RADICAL", "CJK COMPATIBILITY IDEOGRAPH")
+
+
+@functools.cache
+def _properties() -> tuple[frozenset[str], frozenset[str], frozenset[str], frozenset[str]]:
+    """Characters that are never seen, blanks but U+0020, forms to fold, and all that is unstable: these, and what normalization changes or may join to the character before."""
+    hidden = regex.compile(f"[{INVISIBLE}]")
+    gone, blanks, folded, moved = set(), set(), set(), set()
+    for p in (*range(0xD800), *range(0xF900, 0x30000), *range(0xE0000, 0xE1000)):
+        c = chr(p)
+        if hidden.match(c):
+            gone.add(c)
+        kind = unicodedata.category(c)
+        if p < 0x80 or kind in ("Cn", "Co"):
+            continue
+        if kind == "Zs":
+            blanks.add(c)
+            continue
+        rule = unicodedata.decomposition(c)
+        tag = rule[1 : rule.find(">")] if rule.startswith("<") else ""
+        name = unicodedata.name(c, "") if rule or p < 0x3000 else ""
+        alike = tag in _SAME_LOOK or (tag == "compat" and ("LIGATURE" in name or "DIGRAPH" in name))
+        if alike or (tag in ("", "compat") and name.startswith(_SAME_NAMES) and (tag or name.startswith("CJK"))):
+            folded.add(c)
+        syllable = 0x1100 <= p < 0x1200 or 0xA960 <= p < 0xA980 or 0xD7B0 <= p < 0xD800
+        if kind[0] == "M" or unicodedata.combining(c) or syllable or not unicodedata.is_normalized("NFC", c):
+            moved.add(c)
+    return frozenset(gone), frozenset(blanks), frozenset(folded), frozenset(gone | blanks | folded | moved)
+
+
 #: Runs of letters of the scripts that look alike, and a sign that one may be mixed.
-_MIXED = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]+")
-_FOREIGN = regex.compile(rf"[\p{{Cyrillic}}\p{{Greek}}{ALIKE_LATIN_ONLY[:2]}]")
-#: Finds text that may be unstable (Java syntax): anything but plain ASCII and unified ideographs.
-_QUICK = r"[^\x09\x0A\x0D\x20-\x7E\u3001\u3002\u3400-\u4DBF\u4E00-\u9FFF]"
+_OTHER = r"\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}"
+_MIXED = regex.compile(rf"[\p{{Latin}}{_OTHER}\p{{M}}]+")
+_FOREIGN = regex.compile(rf"[{_OTHER}{ALIKE_LATIN}]")
+_KATAKANA = "ァ-ヺーヽヾ"
+#: A katakana among ideographs in a text without other kana; an ideograph among katakana.
+_LONE_KANA = regex.compile(rf"(?<![{COUNTED}](?=カ))(?:(?<=\p{{Han}})|(?=.\p{{Han}}))[{''.join(IDEOGRAPH_OF)}](?![\p{{Hiragana}}{_KATAKANA}])")
+_LONE_HAN = regex.compile(rf"(?<=[{_KATAKANA}])[{''.join(KANA_OF)}](?=[{_KATAKANA}])")
+_KANA_RUN = regex.compile(rf"[\p{{Hiragana}}{_KATAKANA}]")
+#: Finds text that may be unstable (Java syntax too): anything but characters known to stay, and neighbours that may be of a mixed word.
+_STAYS = (
+    r"\x09\x0A\x0D\x20-\x7E\xA1-\xA7\xA9\xAB\xB0\xB1\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u024F"
+    r"\u0400-\u0482\u048A-\u04FF\u2010-\u2016\u2018-\u2023\u2026\u3001-\u3003\u3005-\u3011\u3041-\u3096\u30A1-\u30FE\u3400-\u4DBF\u4E00-\u9FFF"
+)
+_L, _C, _H = r"[A-Za-z\u00C0-\u024F]", r"[\u0400-\u04FF]", r"[\u3005\u3007\u3400-\u4DBF\u4E00-\u9FFF]"
+_K, _I = "".join(IDEOGRAPH_OF), "".join(KANA_OF)
+_QUICK = rf"[^{_STAYS}]|{_L}{_C}|{_C}{_L}|{_H}[{_K}]|[{_K}]{_H}|[\u30A1-\u30FE][{_I}]"
 
 
-def _fold(m) -> str:
-    s = _GONE.sub("", m.group())
-    s = _BLANK.sub(" ", s)
-    s = _FOLD.sub(lambda x: RADICAL_OF.get(x.group()) or unicodedata.normalize("NFKC", x.group()), s)
-    return unicodedata.normalize("NFC", s)
+def _fold(segment: str) -> str:
+    gone, blanks, folded, _ = _properties()
+    out = []
+    for c in segment:
+        if c in gone:
+            continue
+        if c in blanks:
+            c = " "
+        elif c in folded:
+            c = RADICAL_OF.get(c) or unicodedata.normalize("NFKC", c)
+        out.append(c)
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+def _spliced(s: str) -> str:
+    """``s`` with each unstable run, and the character before it, brought to its form."""
+    unstable = _properties()[3]
+    out, at, i, n = [], 0, 0, len(s)
+    for i in [i for i, c in enumerate(s) if c in unstable]:
+        if i < at:
+            continue
+        end = i + 1
+        while end < n and s[end] in unstable:
+            end += 1
+        start = i - 1 if i > at and not s[i - 1].isspace() else i
+        out += (s[at:start], _fold(s[start:end]))
+        at = end
+    return "".join(out) + s[at:] if out else s
 
 
 def _word(m) -> str:
     """A run of letters; accents are taken off first, as they may have joined a letter of the wrong script."""
     w = unicodedata.normalize("NFD", m.group())
     latin = regex.findall(r"\p{Latin}", w)
-    foreign = regex.findall(r"[\p{Cyrillic}\p{Greek}]", w)
+    foreign = regex.findall(rf"[{_OTHER}]", w)
     if not foreign:
-        w = "".join(LATIN_OF.get(c, c) if c in ALIKE_LATIN_ONLY[:2] else c for c in w)
+        w = "".join(LATIN_OF.get(c, c) if c in ALIKE_LATIN else c for c in w)
     elif any(c not in ALIKE_LATIN_ONLY for c in latin):
         if all(c in LATIN_OF for c in foreign):
             w = "".join(c if c == "ı" else LATIN_OF.get(c, c) for c in w)
@@ -91,8 +158,14 @@ def consistent(s: str | None) -> str | None:
     """
     if s is None or (s.isascii() and s.isprintable()):
         return s
-    s = _SEGMENT.sub(_fold, s)
-    return _MIXED.sub(_word, s) if _FOREIGN.search(s) else s
+    s = _spliced(s)
+    s = _MIXED.sub(_word, s) if _FOREIGN.search(s) else s
+    kana = _KANA_RUN.findall(s)
+    if kana:
+        if all(c in IDEOGRAPH_OF for c in kana):
+            s = _LONE_KANA.sub(lambda m: IDEOGRAPH_OF[m.group()], s)
+        s = _LONE_HAN.sub(lambda m: KANA_OF[m.group()], s)
+    return s
 
 
 @F.pandas_udf(T.StringType())

@@ -101,6 +101,12 @@ FORMS = [
 ]
 
 
+FORMS += [
+    ("հello", "hello"), ("Ꭰata", "Data"), ("ꓐig", "Big"), ("ʙig", "big"), ("ᴀb", "ab"), ("工程ニ", "工程二"), ("エ程师", "工程师"), ("能カ", "能力"), ("人ロ", "人口"),
+    ("三カ月", "三カ月"), ("プ口グラム", "プログラム"), ("デ一タ入力", "データ入力"), ("データ入口", "データ入口"), ("Հայերեն", "Հայերեն"), ("ᎠᎡ", "ᎠᎡ"), ("ﾌﾟﾛ", "プロ"),
+]
+
+
 @pytest.mark.parametrize(("text", "form"), FORMS)
 def test_forms(text, form):
     assert normalize.consistent(text) == form
@@ -121,6 +127,20 @@ def test_splicing_equals_whole_normalization(s):
     assert normalize.consistent(s) == normalize._MIXED.sub(normalize._word, whole)
 
 
+def test_quick_check_misses_nothing():
+    import regex
+
+    quick = regex.compile(normalize._QUICK)
+    sample = [*map(chr, itertools.chain(range(0x20, 0xD800), range(0xE000, 0x30000)))]
+    for c in sample:
+        assert quick.search(c) or normalize.consistent(c) == c, hex(ord(c))
+    near = [c for c in sample if not quick.search(c)][:: 7] + list("aАеoӏı工エー力カプ一")
+    rng = random.Random(4)
+    for _ in range(60_000):
+        t = "".join(rng.choice(near) for _ in range(4))
+        assert quick.search(t) or normalize.consistent(t) == t, t
+
+
 def test_form_columns(spark, sf_dir):
     jobs = table(spark, sf_dir, "table2_jd")
     for r in normalize.forms(jobs, "jd_no", ["jd_title", "jd_sub_type"]).collect():
