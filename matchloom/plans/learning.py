@@ -67,7 +67,8 @@ class FoldModels:
         own = [f"__{c}" if c in self.categorical else c for c in self.features]
         out = VectorAssembler(inputCols=own, outputCol="__x", handleInvalid="keep").transform(x).drop(*[f"__{c}" for c in self.categorical])
         attrs = [NominalAttr(i, self.codes[c][1] + 1) if c in self.categorical else None for i, c in enumerate(self.features)]
-        meta = {"ml_attr": {"attrs": {"nominal": [a.json() for a in attrs if a], "numeric": [{"idx": i} for i, a in enumerate(attrs) if a is None]}, "num_attrs": len(attrs)}}
+        kinds = {"nominal": [a.json() for a in attrs if a], "numeric": [{"idx": i} for i, a in enumerate(attrs) if a is None]}
+        meta = {"ml_attr": {"attrs": {k: xs for k, xs in kinds.items() if xs}, "num_attrs": len(attrs)}}
         return out.withMetadata("__x", meta) if self.categorical else out
 
     def out_of_fold(self) -> DataFrame:
