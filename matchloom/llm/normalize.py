@@ -100,6 +100,8 @@ _STAYS = (
     r"\x09\x0A\x0D\x20-\x7E\xA1-\xA7\xA9\xAB\xB0\xB1\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u024F"
     r"\u0400-\u0482\u048A-\u04FF\u2010-\u2016\u2018-\u2023\u2026\u3001-\u3003\u3005-\u3011\u3041-\u3096\u30A1-\u30FE\u3400-\u4DBF\u4E00-\u9FFF"
 )
+#: A first sieve, which most values end at: nothing but ASCII, ideographs and the commonest marks.
+_PLAIN = r"[^\x09\x0A\x0D\x20-\x7E\u3001\u3002\u3400-\u4DBF\u4E00-\u9FFF]"
 _L, _C, _H = r"[A-Za-z\u00C0-\u024F]", r"[\u0400-\u04FF]", r"[\u3005\u3007\u3400-\u4DBF\u4E00-\u9FFF]"
 _K, _I = "".join(IDEOGRAPH_OF), "".join(KANA_OF)
 _QUICK = rf"[^{_STAYS}]|{_L}{_C}|{_C}{_L}|{_H}[{_K}]|[{_K}]{_H}|[\u30A1-\u30FE][{_I}]"
@@ -179,9 +181,13 @@ def _consistent(v: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _doubtful(c: Column) -> Column:
+    return c.rlike(_PLAIN) & c.rlike(_QUICK)
+
+
 def consistent_form(c: Column) -> Column:
     """Column of consistent forms. Values that pass the quick check stay on the JVM side."""
-    doubt = c.rlike(_QUICK)
+    doubt = _doubtful(c)
     return F.when(doubt, _consistent(F.when(doubt, c))).otherwise(c)
 
 
@@ -199,7 +205,7 @@ def _consistent_each(v: pd.Series) -> pd.Series:
 
 def consistent_forms(c: Column) -> Column:
     """As ``consistent_form``, for a column of arrays of texts."""
-    doubt = F.exists(c, lambda x: x.rlike(_QUICK))
+    doubt = F.exists(c, _doubtful)
     return F.when(doubt, _consistent_each(F.when(doubt, c))).otherwise(c)
 
 
