@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 LEVELS, PARTS, STEPS = 128, 4, 150
-LARGEST = 1 << 20
 
 
 @dataclass
@@ -199,21 +198,23 @@ def segments(kinds: list[Kind]) -> tuple[dict[int, list[tuple[int, int, int]]],
     return out, base
 
 
-def _assign(parts: np.ndarray, offsets: np.ndarray, seg_key: np.ndarray, seg_base: np.ndarray, seg_times: np.ndarray, containers: np.ndarray):
+def _assign(span: int, parts: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, seg_key: np.ndarray, seg_base: np.ndarray, seg_times: np.ndarray, containers: np.ndarray):
+    """Places items by their rank among the items of their budget and length; ``span`` exceeds every length, ``kinds`` are the planned (budget, length)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = -1, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             part, budget, n = (batch.column(c).to_numpy(zero_copy_only=False).astype("int64") for c in ("part", "budget", "n_tokens"))
-            key = (part * 8 + budget) * LARGEST * 2 + n
+            key = (part * len(containers) + budget) * span + n
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             at = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
             if key[0] == last:
                 at[: start[1] if len(start) > 1 else len(key)] += seen
             last, seen = int(key[-1]), int(at[-1]) + 1
             rank = at + offsets[np.searchsorted(parts, key)]
-            lookup = ((budget * LARGEST + n) << 40) + rank
+            lookup = (np.searchsorted(kinds, budget * span + n) << 40) + rank
             s = np.maximum(np.searchsorted(seg_key, lookup, "right") - 1, 0)
             if len(seg_key):
                 held = seg_base[s] + (lookup - seg_key[s]) // seg_times[s]
@@ -234,12 +235,11 @@ def fill_containers(sizes: DataFrame, key: str, size: str, budgets: DataFrame, n
     An item beyond the capacity is cut into full pieces and a rest; no other item is cut. Items of
     size 0 or null take no room and are spread over the containers. Budgets without a positive
     capacity are left out. Repeated keys are items of their own. An empty table gives no rows.
-    Budgets are a fixed table (at most 8); histograms, offsets and plans are bounded by capacities
-    and partitions. Equal inputs give equal containers: items of equal length rank by key and piece.
+    Budgets are a small fixed table; histograms, offsets and plans on the driver are bounded by their
+    capacities and by partitions. Equal inputs give equal containers: items of equal length rank by key and piece.
     """
-    caps = [(r[0], int(r[1])) for r in budgets.select(name, capacity).distinct().where(f"{capacity} > 0").orderBy(capacity, name).limit(9).collect()]
-    if len(caps) > 8 or any(c >= LARGEST for _, c in caps):
-        raise ValueError("at most 8 budgets of less than 2^20 tokens")
+    caps = [(r[0], int(r[1])) for r in budgets.select(name, capacity).distinct().where(f"{capacity} > 0").orderBy(capacity, name).collect()]
+    span = max((c for _, c in caps), default=0) + 1
     spark = sizes.sparkSession
     own = sizes.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
     kind = dict(own.dtypes)["key"]
@@ -262,7 +262,7 @@ def fill_containers(sizes: DataFrame, key: str, size: str, budgets: DataFrame, n
     hist = [np.zeros(c + 1, "int64") for _, c in caps]
     parts, offsets = [], []
     for r in counts:
-        parts.append((r["part"] * 8 + r["budget"]) * LARGEST * 2 + r["n_tokens"])
+        parts.append((r["part"] * len(caps) + r["budget"]) * span + r["n_tokens"])
         offsets.append(int(hist[r["budget"]][r["n_tokens"]]))
         hist[r["budget"]][r["n_tokens"]] += r["c"]
     by = np.argsort(np.array(parts, "int64"))
@@ -270,11 +270,13 @@ def fill_containers(sizes: DataFrame, key: str, size: str, budgets: DataFrame, n
     for i, h in enumerate(hist):
         held, n = segments(planned(h))
         containers.append(n)
-        seg += [(((i * LARGEST + length) << 40) + first, base, times) for length, ss in held.items() for first, base, times in ss]
+        seg += [(i * span + length, first, base, times) for length, ss in held.items() for first, base, times in ss]
     seg.sort()
-    table = np.array(seg, "int64").reshape(-1, 3)
+    table = np.array(seg, "int64").reshape(-1, 4)
+    kinds, which = np.unique(table[:, 0], return_inverse=True)
+    seg_key = (which.astype("int64") << 40) + table[:, 1]
     out = ranked.mapInArrow(
-        _assign(np.array(parts, "int64")[by], np.array(offsets, "int64")[by], table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), np.array(containers, "int64")),
+        _assign(span, np.array(parts, "int64")[by], np.array(offsets, "int64")[by], kinds, seg_key, table[:, 2].copy(), table[:, 3].copy(), np.array(containers, "int64")),
         f"budget bigint, container_id bigint, key {kind}, piece_no bigint, start_token bigint, n_tokens bigint",
     )
     label = F.element_at(F.array(*[F.lit(x) for x, _ in caps]), (F.col("budget") + 1).cast("int"))

@@ -35,18 +35,18 @@ def account(c: Column) -> Column:
     return F.when(t.rlike("^[0-9a-f]{32}$"), t).otherwise(F.concat(F.lit("="), c))
 
 
-def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``root``: every node of the pairs with the least node of its component.
 
-    Each round is one large-star and one small-star step, written to the checkpoint folder; the
-    number of rounds grows with the logarithm of the longest chain. Minima are aggregated before
+    Each round is one large-star and one small-star step, written to the checkpoint folder, until
+    nothing changes; the number of rounds grows with the logarithm of the longest chain. Minima are aggregated before
     the shuffle, so a node with very many links is no single task's work. Null and self links are
     left out.
     """
     e = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,8 +57,6 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
@@ -180,8 +178,12 @@ def assign_rows(rows: DataFrame, key: str, by_key: DataFrame, shares: dict[str,
         drawn = F.coalesce(drawn, F.when(u < upto, F.lit(s)))
     drawn = F.coalesce(drawn, F.lit(list(shares)[-1]))
     known = by_key.select(F.col(key).alias("__key"), F.col("split").alias("__split"))
-    cols = [rows[c] for c in rows.columns if c != "split"]
-    return rows.join(known, rows[key] == known["__key"], "left").select(*cols, F.coalesce("__split", drawn).alias("split"))
+    cols = [c for c in rows.columns if c != "split"]
+    own = rows.withColumn("__drawn", drawn).drop("split")
+    # Rows without a key stay where they are: in the join they would all meet in one task.
+    held = own.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__key"), "left")
+    held = held.select(*cols, F.coalesce("__split", "__drawn").alias("split"))
+    return held.unionByName(own.where(F.col(key).isNull()).select(*cols, F.col("__drawn").alias("split")))
 
 
 def sharing_pairs(by_key: DataFrame, key: str) -> DataFrame:

@@ -362,6 +362,18 @@ def test_containers(spark):
     assert packing.fill_containers(df, "doc_id", "n_tokens", budgets.limit(0)).count() == 0
 
 
+def test_many_budgets_and_large_capacities(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([3, 7, 40, 90]) if i else 3_000_000) for i in range(60)]
+    caps = [(f"b{i}", c) for i, c in enumerate([10, 11, 12, 13, 14, 15, 16, 17, 18, 1 << 21])]
+    placed = packing.fill_containers(spark.createDataFrame(rows, "doc_id long, n_tokens long"), "doc_id", "n_tokens", spark.createDataFrame(caps, "budget_name string, capacity_tokens int"))
+    load = {(r["budget_name"], r["container_id"]): r["t"] for r in placed.groupBy("budget_name", "container_id").agg(F.sum("n_tokens").alias("t")).collect()}
+    whole = sum(n for _, n in rows)
+    for name, cap in caps:
+        own = [t for (b, _), t in load.items() if b == name]
+        assert sum(own) == whole and max(own) <= cap
+
+
 # --- problem 9
 
 SAID = {
