@@ -145,10 +145,11 @@ def _diagnosed(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
 
 
 def _solve(keys: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The lines of a block: the valid ones of every bulk parse, then what masks and bisection isolated."""
+    """The lines of a block in their order: the valid ones of every bulk parse, and what masks and bisection isolated."""
     shaped = pc.match_substring_regex(text, _LINE)
     apart = [pc.indices_nonzero(pc.invert(shaped))]
     todo = [pc.indices_nonzero(shaped)]
+    found, places = [], []
     while todo:
         at = todo.pop()
         if not len(at):
@@ -162,11 +163,15 @@ def _solve(keys: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
             continue
         ok = _valid(got)
         apart.append(at.filter(pc.invert(ok)))
-        for out in got.filter(ok).to_batches():
-            yield pa.RecordBatch.from_arrays([keys.take(at.filter(ok)), *out.columns, pa.nulls(out.num_rows, pa.string())], schema=_OUT)
-    rest = pa.concat_arrays(apart)
-    if len(rest):
-        yield _diagnosed(keys.take(rest), text.take(rest))
+        places.append(at.filter(ok))
+        found.append(got.filter(ok).add_column(0, "line_no", keys.take(places[-1])).append_column("reason", pa.nulls(len(places[-1]), pa.string())))
+    places.append(pa.concat_arrays(apart))
+    if len(places[-1]):
+        found.append(pa.Table.from_batches([_diagnosed(keys.take(places[-1]), text.take(places[-1]))]))
+    if found:
+        whole = pa.concat_tables(t.cast(_OUT) for t in found)
+        order = np.argsort(pa.concat_arrays([p for p in places if len(p)]).to_numpy(), kind="stable")
+        yield from whole.take(pa.array(order)).combine_chunks().to_batches()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

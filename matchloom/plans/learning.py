@@ -207,8 +207,11 @@ def reduced(docs: DataFrame, counts: DataFrame, key: str, most: int | None = Non
     v = np.zeros((n, k))
     if k:
         vector = F.udf(lambda i, w: Vectors.sparse(n, i, w), VectorUDT())
-        rows = RowMatrix(x.select(vector("ix", "w").alias("x")))
+        # Kept (on disk where memory is short), since the solver reads the rows in every step.
+        held_rows = x.select(vector("ix", "w").alias("x")).persist()
+        rows = RowMatrix(held_rows)
         found = np.linalg.eigh(rows.computeGramianMatrix().toArray())[1][:, ::-1][:, :k] if n <= gram else rows.computeSVD(k).V.toArray()
+        held_rows.unpersist()
         v[:, : found.shape[1]] = found * np.where(found[np.abs(found).argmax(0), np.arange(found.shape[1])] < 0, -1, 1)
     held = spark.sparkContext.broadcast(v)
 
