@@ -1,7 +1,7 @@
 """From labelled pairs to a final ranking: out-of-fold predictions, their quality, the joined fold models, the blend.
 
 The fold model here is the smoothed rate of a job's positive pairs outside the fold, which SQL can say
-too; `learning.out_of_fold` gives predictions of boosted trees with the same columns.
+too; `learning.FoldModels` gives predictions of boosted trees with the same columns.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..functions.udfs import name_ratio
 from ..operators import metrics, ranking
 from ..session import checkpointed, table
-from .catalog import _CODES, _EXP, _JOBS, _USERS, ACTION_KEYS, _case, _exposed, _salary_sql, actions, jobs
+from .catalog import _CODES, _EXP, _EXP_ALL, _JOBS, _USERS, ACTION_KEYS, _case, _exposed, _salary_sql, actions, jobs, users
 from .registry import query
 
 FOLDS = 5
@@ -129,6 +130,38 @@ def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("part", F.when(F.col("satisfied") == -1, "score").otherwise("train"))
 
 
+@query("""select jd_no, count(user_id) as jd_user_cnt from (select user_id, jd_no from table3_action union all select user_id, jd_no from (select distinct user_id, jd_no from user_exposure))
+where jd_no is not null group by 1""")
+def job_user_cnt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a person per job, over what was acted on and what is to be scored."""
+    acted, shown = table(spark, sf_dir, "table3_action").select("user_id", "jd_no"), table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
+    return acted.union(shown).where("jd_no is not null").groupBy("jd_no").agg(F.count("user_id").alias("jd_user_cnt"))
+
+
+_EDU = _CODES.format("{0}")
+
+
+@query(f"""select e.user_id, e.jd_no, coalesce((u.live_city_id = j.city)::int, 0.5e0) as city, coalesce(({_case(_EDU.format('u.cur_degree_id'), P.DEGREES)} >= {_case(_EDU.format('j.min_edu_level'), P.DEGREES)})::int, 0.5e0) as degree,
+ coalesce(least(1e0, p.n / 10), 0.5e0) as activity from {_EXP_ALL} left join (select user_id, count(*) as n from table3_action where {ACTION_KEYS} group by 1) p on p.user_id = e.user_id""")
+def feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of every exposed pair under fixed names, 0.5 where one cannot be told."""
+    e = table(spark, sf_dir, "user_exposure").select("user_id", "jd_no").distinct()
+    n = actions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    x = e.join(users(spark, sf_dir), "user_id", "left").join(jobs(spark, sf_dir), "jd_no", "left").join(n, "user_id", "left")
+    degree = lambda c: P.coded(P.stripped(F.col(c)), P.DEGREES)
+    own = {"city": F.col("live_city_id") == F.col("city"), "degree": degree("cur_degree_id") >= degree("min_edu_level"), "activity": F.least(F.lit(1.0), F.col("n") / 10)}
+    return x.select("user_id", "jd_no", *[F.coalesce(c.cast("double"), F.lit(0.5)).alias(k) for k, c in own.items()])
+
+
+@query()
+def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of job types beside each different sub-type that are likelier than 0.8 the same; ref_item is a fixed table."""
+    names = table(spark, sf_dir, "ref_item").where("ref_kind = 'job_type'").select(F.col("ref_name").alias("name")).distinct()
+    kinds = jobs(spark, sf_dir).where("jd_sub_type is not null").select("jd_sub_type").distinct()
+    x = kinds.join(F.broadcast(names)).withColumn("ratio", name_ratio("jd_sub_type", "name"))
+    return x.where("ratio > 0.8")
+
+
 _SAL = {n: _salary_sql(f"u.{c}", low) for n, c, low in (("min_desire", "desire_jd_salary_id", True), ("max_desire", "desire_jd_salary_id", False), ("min_cur", "cur_salary_id", True), ("max_cur", "cur_salary_id", False))}
 _YEARS = "2019 - try_cast(case when u.start_work_date = '-' then null else u.start_work_date end as bigint)"
 
@@ -157,8 +190,6 @@ RESUME = ["experience", "desire_jd_industry_id", "desire_jd_type_id", "cur_indus
 @query(f"select user_id, {' || '.join(f'''coalesce({c}, 'nan') || ' ' ''' for c in RESUME)} as resume from {_USERS}")
 def resume_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five fields as one text, each followed by a blank; missing ones read ``nan``."""
-    from .catalog import users
-
     parts = [x for c in RESUME for x in (F.coalesce(F.col(c).cast("string"), F.lit("nan")), F.lit(" "))]
     return users(spark, sf_dir).select("user_id", F.concat(*parts).alias("resume"))
 

@@ -12,6 +12,7 @@ from ..functions import similarity as S
 from ..session import checkpoint_dir, table
 from ..sources import delimited
 from ..sources.cache import TextCache
+from . import chain, semantic
 from .catalog import _JOBS, _USERS, jobs, rank_submission, users
 from .registry import query
 
@@ -58,6 +59,25 @@ def cached_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.attach(j, "job_description", {"n": 0}).select("jd_no", "key", F.col("n").cast("bigint").alias("n"))
 
 
+_SUMS = "len(rs) + len(rf) + len(rt)"
+
+
+@query(f"""with {semantic._R} select r.user_id, md5({' || '.join(f"coalesce(u.{c}, 'nan') || ' '" for c in chain.RESUME)}) as key, cast({_SUMS} as bigint) as triples,
+cast((len(rs) > 0)::int + (len(rf) > 0)::int + (len(rt) > 0)::int as bigint) as relations, {semantic._tree_sql('rs', 'rf', 'rd')} as dimension from r join {_USERS} u on u.user_id = r.user_id""")
+def semantic_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of people (triples, relations, tree) through the cache by the text of the resume; a text that is cached is not modelled again."""
+    cache = TextCache(spark, _folder(spark, "models"))
+    x = chain.resume_text(spark, sf_dir).join(semantic._resume(spark, sf_dir), "user_id")
+    for part in ("user_id < '8'", "true"):
+        lists = cache.keyed(x.where(part), "resume")
+        new = lists.join(cache.misses(x.where(part), "resume").select("key"), "key", "left_semi").dropDuplicates(["key"])
+        dims = semantic.default_dimensions({"技能": F.col("r_skill"), "行业领域": F.col("r_field"), "教育背景": F.col("r_degree")})
+        rels = semantic._relations(semantic.SAID)
+        objects = F.aggregate(rels, F.lit(0), lambda s, r: s + F.size(r["objects"]))
+        cache.add(new.select("key", objects.cast("bigint").alias("triples"), F.size(rels).cast("bigint").alias("relations"), dims[0]["name"].alias("dimension")))
+    return cache.attach(x.select("user_id", "resume"), "resume").drop("resume")
+
+
 _COS = "list_cosine_similarity(list_transform({0}.embedding, lambda x: cast(x as double)), list_transform({1}.embedding, lambda x: cast(x as double)))"
 
 

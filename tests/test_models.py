@@ -158,3 +158,12 @@ def test_category_of_very_many_values(spark, monkeypatch):
     monkeypatch.setattr(learning, "MOST_VALUES", 8)
     df = spark.createDataFrame([(i, i % 5, f"v{i % 30}", float(i % 2)) for i in range(150)], "id int, fold int, c string, label double")
     assert learning.FoldModels(df, "label", [], "fold", categorical=["c"]).out_of_fold().count() == 150
+
+
+def test_registered_functions(spark):
+    from matchloom.functions import udfs
+
+    udfs.register(spark)
+    df = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), (None, "x"), ("a", "A")], "a string, b string")
+    df.createOrReplaceTempView("names_to_compare")
+    assert [r[0] for r in spark.sql("select name_ratio(a, b) from names_to_compare").collect()] == [0.25, 0.5, None, 1.0]
