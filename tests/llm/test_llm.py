@@ -197,7 +197,7 @@ def test_rounds_approach_the_fixed_point(model):
     assert np.abs(np.add.reduceat(got, start) - 1).max() < 1e-6 and np.abs(np.add.reduceat(want, start) - 1).max() < 1e-9
     assert np.abs(got - want).max() < 1e-2
     alone = [distinctive.converged(c[a : a + n], back[a : a + n], np.array([0])) for a, n in zip(start, size, strict=True)]
-    assert np.array_equal(np.concatenate(alone), got)
+    assert np.abs(np.concatenate(alone) - got).max() < 1e-12  # sums of other lengths may round otherwise
 
 
 def test_records_across_batches():
