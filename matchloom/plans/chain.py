@@ -99,7 +99,7 @@ f as (select e.user_id, e.jd_no, a.sat as ws, a.dev as wd, coalesce((t.s - coale
   coalesce((t.d - coalesce(k.d, 0) + 1) / (t.n - coalesce(k.n, 0) + 2), 0.5) as pd from e cross join au a left join t on t.jd_no = e.jd_no left join k on k.jd_no = e.jd_no and k.fold = a.fold),
 g as (select user_id, jd_no, sum(ps * ws) / sum(ws) as sat, sum(pd * wd) / sum(wd) as dev from f group by 1, 2),
 h as (select g.user_id, g.jd_no, x.satisfied, x.delivered, round(g.sat, 6) as sat, round(g.dev, 6) as dev, coalesce(case when u.live_city_id = j.city then 1 else 0 end, 0) as same_city,
-  round(0.7e0 * round(g.sat, 6) + 0.3e0 * round(g.dev, 6), 6) as score
+  round(0.7e0 * g.sat + 0.3e0 * g.dev, 6) as score
   from g left join x on x.user_id = g.user_id and x.jd_no = g.jd_no left join {_USERS} u on u.user_id = g.user_id left join {_JOBS} j on j.jd_no = g.jd_no)
 select *, cast(row_number() over (partition by user_id order by score desc, jd_no) as bigint) as rk from h""")
 def blended_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,8 @@ def blended_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = reduce(lambda a, b: a.join(b, "jd_no", "left"), means, e).fillna(0.5, ["sat", "dev"])
     city = _exposed(spark, sf_dir).select("user_id", "jd_no", P.flag(F.col("live_city_id") == F.col("city")).cast("int").alias("same_city"))
     h = g.join(p.drop("fold"), ["user_id", "jd_no"], "left").join(city, ["user_id", "jd_no"], "left").fillna(0, ["same_city"])
-    h = h.withColumns({c: F.round(c, 6) for c in ("sat", "dev")})
     h = h.withColumn("score", F.round(SHARE["satisfied"] * F.col("sat") + SHARE["delivered"] * F.col("dev"), 6))
+    h = h.withColumns({c: F.round(c, 6) for c in ("sat", "dev")})
     return ranking.positions(h, ["user_id"], [F.desc("score"), F.col("jd_no")], "rk")
 
 
