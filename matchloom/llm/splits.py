@@ -8,7 +8,6 @@ size first, then over the bins of the blocks. Whole bins go to the splits.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-BINS, BLOCK = 100, 20_000
+BINS, BLOCK, FAN = 100, 20_000, 256
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 _WIDE = "０１２３４５６７８９ＡＢＣＤＥＦａｂｃｄｅｆｘＸｕｉＵＩ：－｛｝"
 _PLAIN = "0123456789ABCDEFabcdefxXuiUI:-{}"
@@ -104,34 +103,36 @@ def _block_bins(k: int):
     return run
 
 
-def _global_bins(k: int, shares: dict[str, float]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([*batches, pd.DataFrame({"block": [], "part": [], "weight": []})])
-        if pdf.empty:
-            return
+def _joined_bins(k: int):
+    """Differences the bins of one group of blocks: which bin of the group each bin of each block goes to."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="block", columns="part", values="weight", aggfunc="sum", fill_value=0.0)
         wide = wide.reindex(columns=range(k), fill_value=0.0).sort_index()
-        places = differencing(list(wide.to_numpy(float)))
-        total = np.zeros(k)
-        for x, p in zip(wide.to_numpy(float), places, strict=True):
-            np.add.at(total, p, x)
-        left = {s: q * total.sum() for s, q in shares.items()}
-        split = {}
-        for b in np.argsort(-total, kind="stable"):
-            s = max(left, key=lambda x: left[x])
-            split[b] = s
-            left[s] -= total[b]
-        rows = [(int(block), j, int(p[j]), split[p[j]]) for block, p in zip(wide.index, places, strict=True) for j in range(k)]
-        yield pd.DataFrame(rows, columns=["block", "part", "bin", "split"])
+        loads = list(wide.to_numpy(float))
+        group = int(pdf["group"].iloc[0])
+        rows = [(group, int(block), j, int(p[j]), float(x[j])) for block, x, p in zip(wide.index, loads, differencing(loads), strict=True) for j in range(k)]
+        return pd.DataFrame(rows, columns=["group", "block", "part", "bin", "weight"])
 
     return run
 
 
-def balance(weights: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS, block: int = BLOCK) -> DataFrame:
+def _split_of(totals: dict[int, float], shares: dict[str, float]) -> dict[int, str]:
+    """Whole bins to splits: the heaviest first, each to the split that lacks most."""
+    left = {s: q * sum(totals.values()) for s, q in shares.items()}
+    out = {}
+    for b in sorted(totals, key=lambda b: (-totals[b], b)):
+        out[b] = max(left, key=lambda x: left[x])
+        left[out[b]] -= totals[b]
+    return out
+
+
+def balance(weights: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """``component``, ``bin``, ``split`` for rows of ``component``, ``weight``.
 
-    Components are spread over blocks of about ``block`` rows by hash; only one row of ``bins``
-    sums per block meets in the last step. A component heavier than a bin fills its own.
+    Components are spread over blocks of about ``block`` rows by hash; the ``bins`` sums of ``fan`` blocks at a
+    time are joined, and of these groups again, so no task grows with the data. A component heavier
+    than a bin fills its own. Only the sums of the last bins reach the driver.
     """
     shares = SHARES if shares is None else shares
     n = weights.count()
@@ -140,9 +141,17 @@ def balance(weights: DataFrame, shares: dict[str, float] | None = None, bins: in
     parts = checkpointed(
         own.repartition(blocks, "block").groupBy("block").applyInPandas(_block_bins(bins), "component string, block bigint, part bigint, weight double")
     )
-    sums = parts.groupBy("block", "part").agg(F.sum("weight").alias("weight")).coalesce(1)
-    final = sums.mapInPandas(_global_bins(bins, shares), "block bigint, part bigint, bin bigint, split string")
-    return parts.join(final, ["block", "part"]).select("component", "bin", "split")
+    placed = parts.select("component", "block", "part")
+    sums = parts.groupBy("block", "part").agg(F.sum("weight").alias("weight"))
+    while blocks > 1:
+        grouped = sums.withColumn("group", F.floor(F.col("block") / fan)).groupBy("group")
+        got = checkpointed(grouped.applyInPandas(_joined_bins(bins), "group bigint, block bigint, part bigint, bin bigint, weight double"))
+        placed = placed.join(got.drop("weight"), ["block", "part"]).select("component", F.col("group").alias("block"), F.col("bin").alias("part"))
+        sums = got.groupBy(F.col("group").alias("block"), F.col("bin").alias("part")).agg(F.sum("weight").alias("weight"))
+        blocks = -(-blocks // fan)
+    split = _split_of({r["part"]: r["weight"] for r in sums.collect()}, shares)
+    final = weights.sparkSession.createDataFrame(list(split.items()), "part bigint, split string")
+    return placed.join(F.broadcast(final), "part").select("component", F.col("part").alias("bin"), "split")  # one row a bin
 
 
 def related_splits(

@@ -72,6 +72,24 @@ def test_differencing_balances():
     assert total.sum() == sum(x.sum() for x in loads) and total.max() - total.min() <= 2
 
 
+def test_blocks_are_joined_in_levels(spark):
+    rng = random.Random(9)
+    w = {f"c{i}": rng.choice([1, 2, 5, 40]) for i in range(3000)} | {"hot": 400}
+    df = spark.createDataFrame(list(w.items()), "component string, weight long")
+    got = splits.balance(df, bins=20, block=100, fan=4).collect()
+    assert {r["component"] for r in got} == set(w) and len(got) == len(w)
+    load, of_bin = Counter(), {}
+    for r in got:
+        load[r["bin"]] += w[r["component"]]
+        assert of_bin.setdefault(r["bin"], r["split"]) == r["split"]
+    hot = load.pop(next(r["bin"] for r in got if r["component"] == "hot"))
+    assert max(load.values()) - min(load.values()) <= 40 and len(load) == 19 and hot < min(load.values()) + 400
+    size = Counter()
+    for r in got:
+        size[r["split"]] += w[r["component"]]
+    assert abs(size["train"] / sum(size.values()) - 0.8) < 0.03
+
+
 def test_splits_with_a_hot_user(spark):
     rows = [("hot", i) for i in range(400)] + [(f"u{i % 300}", i) for i in range(800)] + [(None, 1), (None, 1), (None, 2)]
     df = spark.createDataFrame(rows, "user_id string, split int")
