@@ -211,9 +211,9 @@ def _typed(c: str) -> Column:
 
 
 def loadable(parsed: DataFrame) -> DataFrame:
-    """The valid lines with typed columns. ``beyond_64_bits`` maps the columns whose number doesn't fit, and is null there, to its digits."""
-    over = [F.struct(F.lit(c).alias("key"), F.when(F.expr(f"try_cast({c} as bigint)").isNull(), F.col(c)).alias("value")) for c in NUMBERS]
-    kept = F.map_from_entries(F.filter(F.array(*over), lambda x: x["value"].isNotNull()))
+    """The valid lines with typed columns. ``beyond_64_bits`` tells the digits of numbers that don't fit, which are null in their columns: ``column=digits``, joined by commas; null if all fit."""
+    over = [F.when(F.expr(f"try_cast({c} as bigint)").isNull() & F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), c)) for c in NUMBERS]
+    kept = F.nullif(F.concat_ws(",", *over), F.lit(""))
     return parsed.where(F.col("reason").isNull()).select("line_no", *map(_typed, COLUMNS), kept.alias("beyond_64_bits"))
 
 

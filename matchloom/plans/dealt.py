@@ -41,19 +41,23 @@ _NAME = (
     "not regexp_matches({0}, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]') and (starts_with({1}, '\"') or not regexp_matches({0}, '[\\n\\r]')))"
 )
 
-#: SQL of the queries above. p6 writes down the separators that the operator infers.
-SQL = {
-    "p3_found": rf"""
+_LINES = rf"""
 with l as (select line_no, regexp_replace(coalesce(raw_text, ''), '\r$', '') as t from raw_jd_line),
 s as (select line_no, t, regexp_full_match(t, '(?s){_F}(\t{_F})*') as quoted_well, regexp_full_match(t, '(?s){_F}(\t{_F}){{10}}') as eleven from l),
 x as (select line_no, quoted_well, eleven, regexp_extract(t, '(?s)^{"\\t".join([f"({_F})"] * 11)}$', [{_LINE_COLUMNS}]) as f from s),
 r as (select line_no, quoted_well, eleven, {', '.join(f"f.{c} as raw_{c}" for c in rejects.COLUMNS)} from x),
-v as (select *, {', '.join(f"nullif(nullif(case when starts_with(raw_{c}, chr(34)) then replace(raw_{c}[2:-2], chr(34) || chr(34), chr(34)) else raw_{c} end, ''), chr(92) || 'N') as {c}" for c in rejects.COLUMNS)} from r)
-select line_no, case when not quoted_well then 'quoting' when not eleven then 'column_count' else 'invalid_value' end as reason from v
-where not quoted_well or not eleven or not coalesce(regexp_full_match(jd_no, '[0-9a-f]{{32}}'), false)
+v as (select *, {', '.join(f"nullif(nullif(case when starts_with(raw_{c}, chr(34)) then replace(raw_{c}[2:-2], chr(34) || chr(34), chr(34)) else raw_{c} end, ''), chr(92) || 'N') as {c}" for c in rejects.COLUMNS)} from r),
+d as (select *, case when not quoted_well then 'quoting' when not eleven then 'column_count' when not coalesce(regexp_full_match(jd_no, '[0-9a-f]{{32}}'), false)
   or not ({' and '.join(_NAME.format(c, 'raw_' + c) for c in rejects.TITLES)})
   or not ({' and '.join(f"({c} is null or regexp_full_match({c}, '-?[0-9]+'))" for c in rejects.NUMBERS)})
-  or not ({' and '.join(_DAY.format(c) for c in rejects.DATES)})""",
+  or not ({' and '.join(_DAY.format(c) for c in rejects.DATES)}) then 'invalid_value' end as reason from v)"""
+_TYPED = {c: f"try_cast({c} as bigint)" for c in rejects.NUMBERS} | {c: f"cast(try_strptime({c}, '%Y%m%d') as date)" for c in rejects.DATES}
+_BEYOND = ", ".join(f"case when {c} is not null and try_cast({c} as bigint) is null then '{c}=' || {c} end" for c in rejects.NUMBERS)
+
+#: SQL of the queries above. p6 writes down the separators that the operator infers.
+SQL = {
+    "p3_found": f"{_LINES} select line_no, reason from d where reason is not null",
+    "p3_loaded": f"{_LINES} select line_no, {', '.join(f'{_TYPED.get(c, c)} as {c}' for c in rejects.COLUMNS)}, nullif(concat_ws(',', {_BEYOND}), '') as beyond_64_bits from d where reason is null",
     "p6_found": f"""
 with u as (select distinct user_id, {', '.join(LISTS)} from table1_user where user_id is not null),
 l as ({' union all '.join(f"select user_id, '{f}' as field_name, {_TRIMMED.format(f)} as t from u" for f in LISTS)}),
