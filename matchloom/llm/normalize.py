@@ -187,8 +187,7 @@ def _doubtful(c: Column) -> Column:
 
 def consistent_form(c: Column) -> Column:
     """Column of consistent forms. Values that pass the quick check stay on the JVM side."""
-    doubt = _doubtful(c)
-    return F.when(doubt, _consistent(F.when(doubt, c))).otherwise(c)
+    return F.coalesce(_consistent(F.when(_doubtful(c), c)), c)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -205,8 +204,7 @@ def _consistent_each(v: pd.Series) -> pd.Series:
 
 def consistent_forms(c: Column) -> Column:
     """As ``consistent_form``, for a column of arrays of texts."""
-    doubt = F.exists(c, _doubtful)
-    return F.when(doubt, _consistent_each(F.when(doubt, c))).otherwise(c)
+    return F.coalesce(_consistent_each(F.when(F.exists(c, _doubtful), c)), c)
 
 
 def forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
