@@ -100,7 +100,12 @@ def ladder(a: Column, b: Column) -> Column:
     x, y = F.lower(a), F.lower(b)
     p, q = F.array_distinct(F.split(x, r"\s+")), F.array_distinct(F.split(y, r"\s+"))
     common = F.size(F.array_intersect(p, q)) / F.greatest(F.size(F.array_union(p, q)), F.lit(1))
-    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).otherwise(common)
+    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).when(_several_words(x) & _several_words(y), common).otherwise(0.0)
+
+
+def _several_words(c: Column) -> Column:
+    """Names neither of which holds the other can share a word only if both have blanks."""
+    return c.rlike(r"\s")
 
 
 def word_share(a: Column, b: Column) -> Column:
@@ -112,4 +117,4 @@ def word_share(a: Column, b: Column) -> Column:
 def name_likeness(a: Column, b: Column) -> Column:
     """As ``ladder``, with the common words as a share of the larger set of words, which is the surveyed rule."""
     x, y = F.lower(a), F.lower(b)
-    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).otherwise(word_share(a, b))
+    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.7).when(_several_words(x) & _several_words(y), word_share(a, b)).otherwise(0.0)

@@ -165,7 +165,8 @@ k as (select *, row_number() over (partition by user_id order by score desc, jd_
 def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person's candidate positions by the match of dimensions (trees), entities and relations."""
     x = modelled(_pairs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("dimension", "entity", "relation", "score")})
-    return ranking.positions(x.select("user_id", "jd_no", "dimension", "entity", "relation", "score"), ["user_id"], [F.desc("score"), F.col("jd_no")], "rk")
+    x = checkpointed(x.select("user_id", "jd_no", "dimension", "entity", "relation", "score"))  # ranking reads its input twice
+    return ranking.positions(x, ["user_id"], [F.desc("score"), F.col("jd_no")], "rk")
 
 
 @query(f"with {_MODEL} select user_id, cast(rk as bigint) as rk, jd_no, coalesce(jd_title, '未知职位') as title, score, round(case when top > 0 then 100 * score / top else 0 end, 4) as relative, {_GAPS}, {_STRENGTHS} from k where rk <= 5")
