@@ -99,6 +99,18 @@ def test_same_separators_as_a_noisy_table_grows(spark, times):
     assert {"|", ";", "、"} <= set(seps) and not {"/", " ", "-"} & set(seps)
 
 
+def test_a_hot_text_does_not_decide(spark):
+    """A third of all rows copy one text with a mark that is rare elsewhere."""
+    rng = random.Random(2)
+    words = ["TCP/IP", "C/C++", "A/B", "unit test", *(f"w{i}" for i in range(60))]
+    rows = []
+    for i in range(6000):
+        d = "\n" if rng.random() < 0.05 else rng.choice([",", "|"])
+        rows.append((str(i), "w1\nTCP/IP" if i % 3 == 0 else d.join(rng.choice(words) for _ in range(rng.randint(1, 6)))))
+    seps = packed.infer_separators(spark.createDataFrame(rows, "id string, v string"), ["v"])["v"]
+    assert {"\n", ",", "|"} <= set(seps) and not {"/", " "} & set(seps)
+
+
 def test_scores_are_shares(spark):
     df = spark.createDataFrame([(f"a{i % 7},b{i % 11},c{i % 13} d{i % 13}",) for i in range(500)], "v string")
     got = {r["sep"]: r for r in packed.separator_scores(df, ["v"]).collect()}
