@@ -257,7 +257,7 @@ def labelled_sample(docs: DataFrame, text: str, label: str) -> dict[str, list[st
     votes: dict[str, Counter] = {}
     told: dict[str, str] = {}
     for r in drawn.collect():
-        for part in {r["t"][a:z] for a, z, _ in units(r["t"])}:
+        for part in sorted({r["t"][a:z] for a, z, _ in units(r["t"])}):
             sign = _cleaned(_NAME.sub("X", part))
             votes.setdefault(sign, Counter())[r["code"]] += 1
             told.setdefault(sign, part)
