@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..functions.udfs import name_ratio
+from ..functions.udfs import likely_names
 from ..operators import metrics, ranking
 from ..session import checkpointed, table
 from .catalog import _CODES, _EXP, _EXP_ALL, _JOBS, _USERS, ACTION_KEYS, _case, _exposed, _salary_sql, actions, jobs, users
@@ -155,11 +155,10 @@ def feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of job types beside each different sub-type that are likelier than 0.8 the same; ref_item is a fixed table."""
-    names = table(spark, sf_dir, "ref_item").where("ref_kind = 'job_type'").select(F.col("ref_name").alias("name")).distinct()
+    """Names of job types beside each different sub-type that are likelier than 0.8 the same; the names are a fixed table's, so each sub-type is read once."""
+    names = [r[0] for r in table(spark, sf_dir, "ref_item").where("ref_kind = 'job_type'").select("ref_name").distinct().orderBy("ref_name").collect()]
     kinds = jobs(spark, sf_dir).where("jd_sub_type is not null").select("jd_sub_type").distinct()
-    x = kinds.join(F.broadcast(names)).withColumn("ratio", name_ratio("jd_sub_type", "name"))
-    return x.where("ratio > 0.8")
+    return kinds.select("jd_sub_type", F.inline(likely_names(names, 0.8)("jd_sub_type")))
 
 
 _SAL = {n: _salary_sql(f"u.{c}", low) for n, c, low in (("min_desire", "desire_jd_salary_id", True), ("max_desire", "desire_jd_salary_id", False), ("min_cur", "cur_salary_id", True), ("max_cur", "cur_salary_id", False))}

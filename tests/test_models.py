@@ -167,3 +167,5 @@ def test_registered_functions(spark):
     df = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), (None, "x"), ("a", "A")], "a string, b string")
     df.createOrReplaceTempView("names_to_compare")
     assert [r[0] for r in spark.sql("select name_ratio(a, b) from names_to_compare").collect()] == [0.25, 0.5, None, 1.0]
+    got = df.select("a", F.inline_outer(udfs.likely_names(["diet", "A", "edit"], 0.45)("a"))).collect()
+    assert [tuple(r) for r in got] == [("tide", None, None), ("diet", "diet", 1.0), ("diet", "edit", 0.75), (None, None, None), ("a", "A", 1.0)]
