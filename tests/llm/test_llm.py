@@ -218,6 +218,27 @@ def test_rounds_approach_the_fixed_point(model):
     assert np.abs(np.concatenate(alone) - got).max() < 1e-12  # sums of other lengths may round otherwise
 
 
+def test_cases_of_random_collections_are_leaders():
+    """Whatever stands out by the score is among the first places of the model."""
+    rng, places = random.Random(1), []
+    for _ in range(400):
+        vocabulary, most, longest = rng.randint(3, 60), rng.choice([1, 2, 4, 10]), rng.choice([3, 8, 20, 40])
+        share = [1 / (i + 1) ** rng.choice([0, 1, 1.5]) for i in range(vocabulary)]
+        recs = [Counter() for _ in range(rng.randint(5, 60))]
+        for r in recs:
+            for t in rng.choices(range(vocabulary), share, k=rng.randint(1, longest)):
+                r[t] += rng.randint(1, most)
+        d, cf = Counter(t for r in recs for t in r), sum(recs, Counter())
+        for r in recs:
+            c, back = np.array([*r.values()], float), 0.9 * np.array([cf[t] for t in r], float) / cf.total()
+            score = c * np.log(len(recs) / np.array([d[t] for t in r]))
+            first, second = [*np.argsort(-score), 0][:2]
+            if len(r) > 1 and score[first] > score[second] and score[first] >= 2 * score[second]:
+                p = distinctive.converged(c, back, np.array([0]))
+                places.append(1 + int((p > p[first] + 1e-12).sum()))
+    assert len(places) > 1000 and max(places) <= distinctive.LEADERS
+
+
 def test_records_across_batches():
     import pyarrow as pa
 
