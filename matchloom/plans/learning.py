@@ -13,11 +13,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..operators import metrics, ranking
+from ..operators import joined, metrics, ranking
 from ..session import checkpointed, table
 from .catalog import ACTION_KEYS, actions, jobs, users
 from .chain import feature_columns
@@ -242,17 +242,23 @@ def tfidf_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``user_id``; the pair of words where two experiences meet counts too. The joined text is
     never built.
     """
-    known = jobs(spark, sf_dir).select("jd_no")
-    acted = actions(spark, sf_dir).select("user_id", "jd_no").distinct().join(known, "jd_no", "left_semi")
-    shown = table(spark, sf_dir, "user_exposure").where(ACTION_KEYS).select("user_id", "jd_no").distinct()
-    p = acted.select("jd_no", "user_id", F.lit(0).alias("part")).union(shown.select("jd_no", "user_id", F.lit(1).alias("part")))
-    missing = F.array(F.lit("nan"))
-    u = users(spark, sf_dir).select("user_id", P.words(F.coalesce("experience", F.lit("nan"))).alias("w"))
-    inner = p.join(u, "user_id", "left").select(F.col("jd_no").alias("doc"), F.coalesce("w", missing).alias("w"))
-    inner = inner.select("doc", F.explode(F.concat("w", P.word_pairs(F.col("w")))).alias("term"))
-    ends = u.select("user_id", F.try_element_at("w", F.lit(1)).alias("a"), F.try_element_at("w", F.lit(-1)).alias("z"), F.lit(True).alias("held"))
-    met = p.join(ends, "user_id", "left").withColumns({x: F.when(F.col("held"), F.col(x)).otherwise("nan") for x in "az"}).where("a is not null")
-    before = F.lag("z").over(Window.partitionBy("jd_no").orderBy("part", "user_id"))
-    met = met.select(F.col("jd_no").alias("doc"), "a", before.alias("z")).where("z is not null").select("doc", F.concat_ws(" ", "z", "a").alias("term"))
-    counts = inner.union(met).groupBy("doc", "term").agg(F.count("*").alias("c"))
-    return reduced(p, counts, "jd_no")
+    acted = actions(spark, sf_dir).select("user_id", "jd_no")
+    shown = table(spark, sf_dir, "user_exposure").where(ACTION_KEYS).select("user_id", "jd_no")
+    named = jobs(spark, sf_dir).where("jd_no is not null").select("jd_no", F.lit(True).alias("known")).union(shown.select("jd_no", F.lit(False)))
+    docs = ranking.running(named.groupBy("jd_no").agg(F.max("known").alias("known")), [F.col("jd_no")], F.lit(1), "doc")
+    docs = checkpointed(docs.select("jd_no", "known", (F.col("doc") - 1).cast("int").alias("doc")))
+    people = checkpointed(ranking.dense_codes(acted.select("user_id").union(shown.select("user_id")), "user_id", "uid").select("user_id", F.col("uid").cast("int").alias("uid")))
+    words = users(spark, sf_dir).select("user_id", P.words(F.coalesce("experience", F.lit("nan"))).alias("words"))
+    own = joined.members(people.join(words, "user_id", "left").select("uid", F.coalesce("words", F.array(F.lit("nan"))).alias("words")))
+    p = acted.join(docs.where("known"), "jd_no").select("doc", "user_id", F.lit(0).alias("part"))
+    p = p.union(shown.join(docs, "jd_no").select("doc", "user_id", F.lit(1).alias("part"))).join(people, "user_id").select("doc", "part", "uid")
+    found = joined.Joined(p, docs.count(), own, acted.count() + shown.count())
+    held = spark.sparkContext.broadcast((found.present, found.reduced(10)))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, vectors = held.value
+        for b in batches:
+            b = b.filter(pa.array(present[b.column("doc").to_numpy()]))
+            yield pa.RecordBatch.from_arrays([b.column("jd_no"), pa.array(list(vectors[b.column("doc").to_numpy()]), pa.list_(pa.float64()))], ["jd_no", "vector"])
+
+    return docs.select("jd_no", "doc").mapInArrow(looked_up, "jd_no string, vector array<double>")

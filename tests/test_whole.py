@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchloom.operators import metrics, rejects
+from matchloom.operators import joined, metrics, rejects
 from matchloom.plans import learning
 
 
@@ -78,6 +78,31 @@ def test_reduced_small(spark):
     assert learning.reduced(docs, counts.limit(0), "jd_no").first()["vector"] == []
 
 
+def test_joined_texts_are_never_spread_into_terms_of_documents(spark):
+    """Members in order over several blocks; what a step reads grows with pairs and members, not with terms of documents."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 12))) for _ in range(60)]
+    rows = sorted({(int(d), int(p), int(u)) for d, p, u in rng.integers(0, (30, 2, 60), (2000, 3)) if d != 7})
+    own = joined.members(spark.createDataFrame([(i, x.split()) for i, x in enumerate(texts)], "uid int, words array<string>"))
+    pairs = spark.createDataFrame([*rows, *rows[:9]], "doc int, part int, uid int")
+    found = joined.Joined(pairs, 31, own, 3 * joined.BLOCK)
+    docs = [d for d in range(30) if d != 7]
+    assert found.present.nonzero()[0].tolist() == docs
+    want = [" ".join(texts[u] for d, _, u in rows if d == doc) for doc in docs]
+    y = found.reduced(10)[docs]
+    assert np.allclose(y @ y.T, _products(want), atol=1e-8)
+    held = sum(len(r["t_ix"]) + len(r["m_ix"]) for r in found.terms.collect()) / 4
+    assert held < 0.5 * sum(len(_terms(x)) for x in want)
+
+
+@pytest.mark.parametrize("values", [[9.0, *[5.0] * 8, 3.0, 2.0, *[1.0] * 80], [1.0] * 50, [4.0, 3.0, *[0.0] * 40], [7.0] * 3])
+def test_leading_directions_with_equal_values(values):
+    d = np.array([*values, 0.0, 0.0])
+    k = min(10, len(values))
+    got, x = joined.leading(lambda y: d[:, None] * y, np.arange(len(values)), len(d), k)
+    assert np.allclose(got, sorted(values, reverse=True)[:k]) and np.allclose(x.T @ x, np.eye(k)) and np.allclose(d[:, None] * x, x * got, atol=1e-7)
+
+
 @pytest.mark.parametrize(("name", "score", "texts"), [("text_similarity_all", "likeness", ("experience", "job_description")), ("experience_quality_all", "quality", ("experience", "jd_title"))])
 def test_every_exposed_pair_has_a_score(spark, sf_dir, name, score, texts):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
